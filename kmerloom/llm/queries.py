@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm import bpe, leaks, near_duplicates, term_counts, visual_form
+from kmerloom.llm import bpe, history, leaks, near_duplicates, neighbours, nn_graph, term_counts, visual_form
 from kmerloom.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,28 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, d, "seq_array"))
 
 
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.not_new(table(spark, d, "seq_array"), table(spark, d, "zarr_store"))
+
+
+def graph(spark: SparkSession, d: str) -> nn_graph.Graph:
+    """The neighbour graph of the usable k=3 vectors."""
+    return nn_graph.build_graph(nn_graph.usable_vectors(spread(table(spark, d, "kmer_seq").select("seqid", "kfreqs")), 64), 64)
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    probes = table(spark, d, "knn_probe").select(F.col("seqid").alias("name"))
+    found = neighbours.probe_neighbours(graph(spark, d), probes)
+    return found.select(F.least("name", "other").alias("seqid_a"), F.greatest("name", "other").alias("seqid_b")).distinct()
+
+
+@query
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.all_neighbours(graph(spark, d)).withColumnRenamed("name", "seqid")
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.term_counts(spread(table(spark, d, "kmer_seq").select("seqid", "kfreqs")), 4096).where("mark is not null").select("kmer_index", "mark")
