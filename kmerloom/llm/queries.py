@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm import bpe, history, leaks, near_duplicates, neighbours, nn_graph, term_counts, visual_form
+from kmerloom.llm import bpe, clusters, history, leaks, near_duplicates, neighbours, nn_graph, term_counts, varied, visual_form
 from kmerloom.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,34 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def graph(spark: SparkSession, d: str) -> nn_graph.Graph:
+    """The neighbour graph of the usable k=3 vectors."""
+    return nn_graph.build_graph(nn_graph.usable_vectors(spread(table(spark, d, "kmer_seq").select("seqid", "kfreqs")), 64), 64)
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.cluster_of_names(graph(spark, d)).withColumnRenamed("name", "seqid")
+
+
+@query
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical seqids of each cluster."""
+    return clusters.descriptions(graph(spark, d))
+
+
+@query
+def p1_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical seqids of each community of the clusters."""
+    return clusters.descriptions(graph(spark, d), by="community")
+
+
+@query
+def p2_chosen(spark: SparkSession, d: str) -> DataFrame:
+    rows = spread(table(spark, d, "kmer_seq").select("seqid", "source", "kfreqs", "delta_jsd"))
+    return varied.choose_varied(rows, table(spark, d, "selection_request"), 64)
+
+
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(table(spark, d, "seq_array"))
@@ -38,11 +66,6 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return history.not_new(table(spark, d, "seq_array"), table(spark, d, "zarr_store"))
 
 
-def graph(spark: SparkSession, d: str) -> nn_graph.Graph:
-    """The neighbour graph of the usable k=3 vectors."""
-    return nn_graph.build_graph(nn_graph.usable_vectors(spread(table(spark, d, "kmer_seq").select("seqid", "kfreqs")), 64), 64)
-
-
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     probes = table(spark, d, "knn_probe").select(F.col("seqid").alias("name"))
