@@ -1,16 +1,16 @@
 """Choosing a varied subset (problem 2).
 
 Method: quotas by minimum-cost flow. The distinct vectors of a request's pool are aggregated into combinations of two
-categories: the kind (the nearest of a few centres that lie far apart) and the band (distance to that centre x
-entropy). A flow of the wanted size runs from kinds through combinations, whose capacity is their number of distinct
+categories: the kind (the nearest of a few centres that lie far apart) and the band (whether its divergence from the
+pool's mean is below the pool's median). A flow of the wanted size runs from kinds through combinations, whose capacity is their number of distinct
 vectors, to bands. Every kind and every band has an equal share as its target, free of cost; each further part of a
 share costs more than the one before, so large groups are used only where variety runs out. The flow's amounts are
 quotas, which are filled by rank: divergence from the pool's mean, past delta_jsd, seqid. A pool with fewer distinct
 vectors than wanted is taken whole, then filled with copies by seqid.
 
 Centres are found by farthest-first traversal of the whole pool, in two steps: each partition picks its own, and the
-picks of groups of partitions are traversed again, so rare kinds are seen wherever they lie. Means and entropy bounds
-are of all distinct vectors of the pool.
+picks of groups of partitions are traversed again, so rare kinds are seen wherever they lie. Means and medians are of
+all distinct vectors of the pool.
 
 Defined cases: requests for none or a null number choose nothing; a request for more than its pool has gets the pool;
 null sources in requests mean all records, requests for unknown sources choose nothing; records with null sources are
@@ -33,8 +33,8 @@ from kmerloom.operators.jsd import leave_one_out
 from kmerloom.session import cut
 
 MAX_KINDS = 64
-#: Bounds of the distance bands, number of entropy bands (by quantiles of the pool), and steps of entropy told apart.
-NEAR, ENTROPY_BANDS, STEP = (0.06, 0.12), 3, 0.001
+#: Bounds of the bands, as quantiles of the divergence from the mean.
+BANDS = (0.5,)
 #: Groups in which the picks of partitions are traversed again.
 GROUPS = 16
 MAX_REQUESTS = 1000
@@ -107,10 +107,6 @@ def far_centres(x: np.ndarray, count: int) -> np.ndarray:
     return x[chosen]
 
 
-def entropies(x: np.ndarray) -> np.ndarray:
-    return -(x * np.log2(np.where(x > 0, x, 1))).sum(1)
-
-
 def _per_request(b: pa.RecordBatch, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(request, its rows, their vectors) of a batch of (h, vec, requests)."""
     x, wanted = matrix(b.column(1), np.float64, length), b.column(2)
@@ -121,19 +117,15 @@ def _per_request(b: pa.RecordBatch, length: int) -> Iterator[tuple[int, np.ndarr
 
 
 def _moments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(request, key, value) to be summed: keys from 0 the vector elements, key -1 the vectors, keys from length on steps of entropy."""
+    """(request, key, value) to be summed: keys from 0 the vector elements, key `length` the number of vectors."""
     sums: dict[int, np.ndarray] = {}
-    steps = int(np.ceil(np.log2(length) / STEP)) + 2
     for b in batches:
         for r, _, y in _per_request(b, length):
-            s = sums.setdefault(r, np.zeros(length + steps + 1))
+            s = sums.setdefault(r, np.zeros(length + 1))
             s[:length] += y.sum(0)
-            s[length:-1] += np.bincount(np.clip((entropies(y) / STEP).astype(int), 0, steps - 1), minlength=steps)
             s[-1] += len(y)
     for r, s in sums.items():
-        at = np.flatnonzero(s)
-        key = np.where(at == len(s) - 1, -1, at)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r), pa.int64()), pa.array(key, pa.int32()), pa.array(s[at])], ["request", "key", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), r), pa.int64()), pa.array(range(len(s)), pa.int32()), pa.array(s)], ["request", "key", "value"])
 
 
 def _picks(batches: Iterator[pa.RecordBatch], kinds: dict[int, int], length: int) -> Iterator[pa.RecordBatch]:
@@ -153,7 +145,7 @@ def _again(t: pa.Table, kinds: dict[int, int], length: int) -> pa.Table:
 
 
 def describe_pools(distinct: DataFrame, kinds: dict[int, int], length: int) -> dict[int, dict]:
-    """Centres, mean and entropy bounds of each request's pool; as many centres as `kinds` says."""
+    """Centres and mean of each request's pool; as many centres as `kinds` says."""
     distinct = distinct.select("h", "vec", "rs")
     sums: dict[int, dict[int, float]] = {}
     for x in distinct.mapInArrow(lambda b: _moments(b, length), "request bigint, key int, value double").groupBy("request", "key").agg(F.sum("value").alias("value")).collect():
@@ -164,26 +156,22 @@ def describe_pools(distinct: DataFrame, kinds: dict[int, int], length: int) -> d
         far.setdefault(x.request, []).append(bytes(x.vec))
     pools = {}
     for r, s in sums.items():
-        steps = sorted((k - length, v) for k, v in s.items() if k >= length)
-        share = np.cumsum([v for _, v in steps]) / s[-1]
-        bounds = [STEP * (steps[int(np.searchsorted(share, q / ENTROPY_BANDS - 1e-12))][0] + 1) for q in range(1, ENTROPY_BANDS)]
         centres = far_centres(np.unique(np.array([np.frombuffer(v, np.float64) for v in far[r]]), axis=0), kinds[r])
-        pools[r] = {"centres": centres, "entropy": np.array(bounds), "mean": np.array([s.get(i, 0.0) for i in range(length)]) / s[-1]}
+        pools[r] = {"centres": centres, "mean": np.array([s[i] for i in range(length)]) / s[length]}
     return pools
 
 
 def _categories(batches: Iterator[pa.RecordBatch], pools: dict[int, dict], length: int) -> Iterator[pa.RecordBatch]:
-    """(request, h, kind, band, divergence) from (h, vec, requests)."""
+    """(request, h, kind, gain: divergence from the mean) from (h, vec, requests)."""
     for b in batches:
         for r, own, y in _per_request(b, length):
             pool, c = pools[r], pools[r]["centres"]
             d = np.sqrt(np.maximum(0, (y * y).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * (y @ c.T)))
             kind = d.argmin(1)
-            band = np.searchsorted(NEAR, d.min(1)) * ENTROPY_BANDS + np.searchsorted(pool["entropy"], entropies(y))
             m = np.where(pool["mean"] > 0, pool["mean"], 1)
             gain = np.round((y * np.log2(np.where(y > 0, y, 1) / m)).sum(1), 9)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(own), r), pa.int64()), b.column(0).take(pa.array(own)), pa.array(kind, pa.int32()), pa.array(band, pa.int32()), pa.array(gain)], ["request", "h", "kind", "band", "gain"]
+                [pa.array(np.full(len(own), r), pa.int64()), b.column(0).take(pa.array(own)), pa.array(kind, pa.int32()), pa.array(gain)], ["request", "h", "kind", "gain"]
             )
 
 
@@ -207,7 +195,9 @@ def choose_varied(rows: DataFrame, requests: DataFrame, length: int, record: str
     distinct = cut(heads.groupBy("h").agg(F.collect_set("request").alias("rs")).join(past, "h"))  # at most MAX_REQUESTS in a set
     pools = describe_pools(distinct, {q.r: int(min(MAX_KINDS, max(2, q.n))) for q in asked}, length)
     shared = spark.sparkContext.broadcast(pools)
-    categories = cut(distinct.select("h", "vec", "rs").mapInArrow(lambda b: _categories(b, shared.value, length), "request bigint, h binary, kind int, band int, gain double"))
+    scored = cut(distinct.select("h", "vec", "rs").mapInArrow(lambda b: _categories(b, shared.value, length), "request bigint, h binary, kind int, gain double"))
+    bounds = scored.groupBy("request").agg(F.percentile_approx("gain", list(BANDS), 10000).alias("bounds"))  # a row a request
+    categories = scored.join(F.broadcast(bounds), "request").withColumn("band", F.size(F.filter("bounds", lambda x: x < F.col("gain")))).drop("bounds")
     # at most kinds x bands combinations a request
     counts: dict[int, dict[tuple[int, int], int]] = {}
     for c in categories.groupBy("request", "kind", "band").agg(F.count(F.lit(1)).alias("n")).collect():
