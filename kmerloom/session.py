@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +31,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+_cuts = itertools.count(1)
+#: After so many cuts the driver collects its garbage.
+COLLECT_AFTER = 6
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the checkpoint folder and drop its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Materialise a frame in the checkpoint folder and drop its lineage.
+
+    Spark deletes shuffle files and checkpoints of frames that are no longer used only when the driver collects its
+    garbage, which a long iteration must not leave to chance: files and plans of past rounds would pile up.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    done = df.checkpoint()
+    if next(_cuts) % COLLECT_AFTER == 0:
+        gc.collect()
+        spark._jvm.System.gc()
+    return done
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
