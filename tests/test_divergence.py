@@ -130,8 +130,8 @@ def test_average_linkage_against_plain():
     x = rng.random((30, 4))
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     groups = {i: [i] for i in range(30)}
-    for a, b, height, size in cluster.average_linkage(d):
+    for step, (a, b, height, size) in enumerate(cluster.average_linkage(d)):
         best = min(((np.mean(d[np.ix_(groups[p], groups[q])]), p, q) for p in groups for q in groups if p < q))
         assert abs(best[0] - height) < 1e-9 and {a, b} == {best[1], best[2]}
-        groups[30 + len([g for g in groups if g >= 30]) if False else max(29, *groups) + 1] = groups.pop(a) + groups.pop(b)
-        assert size == len(groups[max(groups)])
+        groups[30 + step] = groups.pop(a) + groups.pop(b)
+        assert size == len(groups[30 + step])
