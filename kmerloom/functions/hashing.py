@@ -50,7 +50,7 @@ def mash_distance(a: Column, b: Column, k: int, sketch_size: int) -> Column:
 
     Equal unions give 0, no common hash gives 1. Two empty sketches have no distance: null.
     """
-    low = F.slice(F.array_sort(F.array_union(a, b)), 1, sketch_size)
+    low = F.slice(F.array_sort(F.array_union(a, b)), 1, min(sketch_size, (1 << 31) - 1))
     both = F.size(F.array_intersect(low, F.array_intersect(a, b)))
     union = F.size(low)
     j = both / union
