@@ -13,9 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kmerloom.operators.ranking import chunk_of, global_rank
+
 EPS = 2.220446049250313e-16
 
 
@@ -149,9 +151,9 @@ def select(vectors: DataFrame, name: str, order: list, size: int, least: int, mo
     rows = vectors.select(F.col(name).alias("name"), F.col(vector).alias("v"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     keys = [f"o{i}" for i in range(len(order))]
     if chunks > 1:
-        # ranks are made on names alone: the vectors do not pass through the one task that numbers them
-        chunk = rows.select("name", *keys).withColumn("chunk", F.ntile(chunks).over(Window.orderBy(*keys)).cast("bigint"))
-        rows = rows.join(chunk, ["name", *keys])
+        # ranks are made on names alone, without the vectors
+        ranked, total = global_rank(rows.select("name", *keys), keys)
+        rows = rows.join(ranked.select("name", *keys, chunk_of("rank", total, chunks).alias("chunk")), ["name", *keys])
     else:
         rows = rows.withColumn("chunk", F.lit(1).cast("bigint"))
     part = rows.select("chunk", F.lit(0).cast("bigint").alias("ord"), "name", "v", *keys).repartition(chunks, "chunk").sortWithinPartitions("chunk", *keys)

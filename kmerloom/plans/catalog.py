@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions import alphabet, hashing
-from kmerloom.operators import cluster, distance, jsd, kmers, selection
+from kmerloom.operators import cluster, distance, jsd, kmers, ranking, selection
 from kmerloom.plans.inputs import records, set_data, set_members, set_vectors, table, vectors
 from kmerloom.plans.oracle import ORACLE_SQL
 from kmerloom.session import spread
@@ -125,10 +125,9 @@ def store_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Equal runs of the ids: only ids pass through the one ordering."""
-    from pyspark.sql import Window
-
-    return records(spark, d).select("record_id", F.ntile(7).over(Window.orderBy("record_id")).alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_id"))
+    """Equal runs of the ids, the remainder to the first."""
+    ranked, total = ranking.global_rank(records(spark, d).select("record_id"), ["record_id"])
+    return ranked.groupBy(ranking.chunk_of("rank", total, 7).cast("int").alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_id"))
 
 
 @query

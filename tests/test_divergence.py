@@ -135,3 +135,14 @@ def test_average_linkage_against_plain():
         assert abs(best[0] - height) < 1e-9 and {a, b} == {best[1], best[2]}
         groups[30 + step] = groups.pop(a) + groups.pop(b)
         assert size == len(groups[30 + step])
+
+
+def test_chunks_have_equal_sizes(spark):
+    from kmerloom.operators.ranking import chunk_of, global_rank
+
+    df = spark.range(10).select(((F.col("id") * 7) % 10).alias("k"))
+    ranked, total = global_rank(df, ["k"])
+    assert total == 10 and {(r.k, r["rank"]) for r in ranked.collect()} == {(i, i) for i in range(10)}
+    sizes = [r["count"] for r in ranked.groupBy(chunk_of("rank", 10, 3).alias("c")).count().orderBy("c").collect()]
+    assert sizes == [4, 3, 3]
+    assert ranked.select(chunk_of("rank", 10, 25)).distinct().count() == 10
