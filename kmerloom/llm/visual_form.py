@@ -17,16 +17,18 @@ equal forms; further columns of the table are not touched by the column function
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from kmerloom.session import cut
+
 # Letters drawn like a Latin letter, with that letter.
 LOOK_ALIKES = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
@@ -61,32 +63,49 @@ def _unstable(ch: str) -> bool:
     )
 
 
+#: The database is read for these ranges of code points; what lies between is stable.
+POINTS = ((0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x12000), (0x16000, 0x17000), (0x1D000, 0x1FC00), (0x2F800, 0x2FA20), (0xE0100, 0xE01F0))
+DROPPED = 0xFFFFFFFF
+#: Segments that lie so close together are done as one.
+NEAR = 6
+
+
 @cache
-def _tables() -> tuple[re.Pattern, dict[int, str]]:
-    """The pattern of an unstable segment and the folding of decomposed characters, from the character database."""
-    points = [c for a, b in ((0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x12000), (0x16000, 0x17000), (0x1D000, 0x1FC00), (0x2F800, 0x2FA20), (0xE0100, 0xE01F0)) for c in range(a, b)]
-    found = [c for c in points if _unstable(chr(c))]
-    runs: list[list[int]] = []
-    for c in found:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    chars = "".join(f"\\U{a:08x}-\\U{b:08x}" if a < b else f"\\U{a:08x}" for a, b in runs)
-    fold = {c: _folded(chr(c)) for c in points if _folded(chr(c)) != chr(c)}
-    fold |= {ord(c): "" for c in INVISIBLE}
-    return re.compile(f"[^{chars}]?[{chars}]+", re.DOTALL), fold
+def _tables() -> tuple[np.ndarray, dict[int, str], np.ndarray]:
+    """By code point, whether it is unstable; the folding of decomposed characters as a mapping and by code point."""
+    unstable, folded, fold = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32), {}
+    for a, b in POINTS:
+        for c in range(a, b):
+            ch = chr(c)
+            unstable[c] = _unstable(ch)
+            if (f := _folded(ch)) != ch:
+                fold[c] = f
+                folded[c] = ord(f)
+    for ch in INVISIBLE:
+        fold[ord(ch)], folded[ord(ch)] = "", DROPPED
+    return unstable, fold, folded
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _fold(text: str) -> str:
+    """Decomposed text in the common look, without invisible characters."""
+    if len(text) < 48:
+        return text.translate(_tables()[1])
+    points = _tables()[2][_points(text)]
+    return points[points != DROPPED].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def _segment(text: str) -> str:
-    _, fold = _tables()
     parts, at = [], 0
     if "‍" in text or "‌" in text:
         for m in KEPT_JOINER.finditer(text):
-            parts += [unicodedata.normalize("NFD", text[at : m.start()]).translate(fold), m.group()]
+            parts += [_fold(unicodedata.normalize("NFD", text[at : m.start()])), m.group()]
             at = m.end()
-    parts.append(unicodedata.normalize("NFD", text[at:]).translate(fold))
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", "".join(parts)).translate({k: v for k, v in fold.items() if v}))
+    parts.append(_fold(unicodedata.normalize("NFD", text[at:])))
+    return unicodedata.normalize("NFC", "".join(parts))
 
 
 _seen: dict[str, str] = {}
@@ -104,32 +123,49 @@ def _canonical(text: str) -> str:
     return form
 
 
+def _segments(text: str, near: int) -> list[tuple[int, int]]:
+    """Start and end of each run of unstable characters, with the one stable character before it."""
+    at = np.flatnonzero(_tables()[0][_points(text)])
+    if not len(at):
+        return []
+    gaps = np.flatnonzero(np.diff(at) > near + 1)
+    starts, ends = np.append(at[:1], at[gaps + 1]), np.append(at[gaps], at[-1:]) + 1
+    return list(zip(np.maximum(starts - 1, 0).tolist(), ends.tolist()))
+
+
+def _has_kept_joiner(text: str) -> bool:
+    return ("‍" in text or "‌" in text) and KEPT_JOINER.search(text) is not None
+
+
 def visual_form(text: str | None) -> str | None:
     """The consistent form of a text."""
     if text is None or text.isascii():
         return text
     # a kept joiner needs the pictograph or letter after it, which is stable: such texts are segments as a whole
-    if ("‍" in text or "‌" in text) and KEPT_JOINER.search(text):
+    if _has_kept_joiner(text):
         return _segment(text)
-    return _tables()[0].sub(lambda m: _canonical(m.group()), text)
+    parts, at = [], 0
+    for a, b in _segments(text, NEAR):
+        parts += [text[at:a], _canonical(text[a:b])]
+        at = b
+    return "".join([*parts, text[at:]]) if at else text
 
 
 def visual_form_spans(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
     """The form, and (start, end in the form, start, end in the text) of each spliced segment."""
     if text.isascii():
         return text, []
-    if ("‍" in text or "‌" in text) and KEPT_JOINER.search(text):
+    if _has_kept_joiner(text):
         form = _segment(text)
         return form, [(0, len(form), 0, len(text))]
     parts, spans, at, size = [], [], 0, 0
-    for m in _tables()[0].finditer(text):
-        parts.append(text[at : m.start()])
-        size += m.start() - at
-        form = _canonical(m.group())
-        parts.append(form)
-        spans.append((size, size + len(form), m.start(), m.end()))
+    for a, b in _segments(text, 0):
+        form = _canonical(text[a:b])
+        parts += [text[at:a], form]
+        size += a - at
+        spans.append((size, size + len(form), a, b))
         size += len(form)
-        at = m.end()
+        at = b
     return "".join([*parts, text[at:]]), spans
 
 
@@ -177,7 +213,7 @@ def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     Null, empty and blank texts (blank in the form) are in no pair; rows with a null key neither.
     """
-    rows = (
+    rows = cut(
         df.select(F.col(key).alias("id"), F.col(text).alias("t"))
         .where("id is not null and t is not null")
         .withColumn("f", form_column(F.col("t")))
@@ -186,9 +222,7 @@ def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     )
     classes = rows.groupBy("f", "t").agg(F.count(F.lit(1)).alias("n"))
     mixed = classes.groupBy("f").agg(F.count(F.lit(1)).alias("v")).where("v > 1").select("f")
-    # rows of groups with at least two classes are few: kept once, used four times
-    from kmerloom.session import cut
-
+    # rows of groups with at least two classes are used four times
     rows = cut(rows.join(mixed, "f", "left_semi"))
     classes = rows.select("f", "t").distinct()
     a, b = (classes.select("f", F.col("t").alias(f"t_{x}")) for x in "ab")
