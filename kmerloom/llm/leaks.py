@@ -18,19 +18,19 @@ out for each pair of ids; rows with a null id are left out; columns beyond the t
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.visual_form import original_offset, visual_form_spans
+from kmerloom.llm.visual_form import original_offset, visual_form, visual_form_spans
 
 WORDS = 8
 MAX_ITEM_CHARS = 32 << 20
-TOKEN = regex.compile(r"<[^<>\n]*>|\[[^\[\]\n]*\]|&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);|(?P<word>[\p{L}\p{N}]+)")
+TOKEN = re.compile(r"<[^<>\n]*>|\[[^\[\]\n]*\]|&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);|([^\W_]+)")
 
 
 def words_of(text: str) -> tuple[list[str], list[tuple[int, int]], list[tuple[int, int, int, int]]]:
@@ -38,7 +38,7 @@ def words_of(text: str) -> tuple[list[str], list[tuple[int, int]], list[tuple[in
     form, spans = visual_form_spans(text)
     found, places = [], []
     for m in TOKEN.finditer(form):
-        if m.lastgroup:
+        if m.lastindex:
             found.append(m.group().casefold())
             places.append(m.span())
     return found, places, spans
@@ -64,17 +64,16 @@ class Automaton:
         """By item: offsets in the text of the first matched run's start and the last one's end, and the number of runs."""
         if self.empty or not text:
             return {}
-        w, places, spans = words_of(text)
-        if len(w) < self.n:
+        # most texts leak nothing: places are made only for those that do
+        line = (" " + " ".join(filter(None, TOKEN.findall(visual_form(text)))) + " ").casefold()
+        if next(self.trie.iter(line), None) is None:
             return {}
-        line = " " + " ".join(w) + " "
+        w, places, spans = words_of(text)
         hits: dict[int, list[int]] = {}
         for end, (size, ids) in self.trie.iter(line):
             for item in ids:
                 h = hits.setdefault(item, [end - size + 1, end, 0])
                 h[1], h[2] = end, h[2] + 1
-        if not hits:
-            return {}
         starts, ends, at = {}, {}, 0
         for i, x in enumerate(w):
             starts[at], ends[at + len(x) + 1] = i, i
