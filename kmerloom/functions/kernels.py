@@ -30,14 +30,26 @@ def window_codes(data: np.ndarray, offsets: np.ndarray, k: int, num_states: int
     n = len(data) - k + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    bad = np.concatenate([[0], np.cumsum(data >= num_states)])
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-    code = np.zeros(n, np.int64)
-    for j in range(k):
-        code *= num_states
-        code += data[j : j + n]
-    keep = (bad[k : k + n] == bad[:n]) & (np.arange(n) + k <= offsets[1:][row])
-    return row[keep], code[keep]
+    kind = np.int32 if num_states**k < 1 << 31 else np.int64
+    bad = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+    np.cumsum(data >= num_states, out=bad[1:])
+    sizes = np.diff(offsets)
+    keep = bad[k:] == bad[:n]
+    # windows that begin in the last k - 1 places of a row reach into the next
+    keep &= np.arange(n) <= np.repeat(offsets[1:] - k, sizes)[:n]
+    return np.repeat(np.arange(len(sizes)), sizes)[:n][keep], _numbers(data.astype(kind), k, num_states)[keep].astype(np.int64)
+
+
+def _numbers(code: np.ndarray, k: int, base: int) -> np.ndarray:
+    """Number of the k codes from each place on, put together from runs of doubled lengths."""
+    whole, held, width = None, 0, 1
+    while True:
+        if k & 1:
+            whole, held = (code, width) if whole is None else (whole[: len(code) - held] * base**width + code[held:], held + width)
+        k >>= 1
+        if not k:
+            return whole
+        code, width = code[:-width] * base**width + code[width:], 2 * width
 
 
 def row_sets(row: np.ndarray, code: np.ndarray, rows: int, space: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
