@@ -44,15 +44,14 @@ def signatures(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(rows, positions) uint32; every row must have an element. Worked in blocks that stay in cache."""
     rows = len(offsets) - 1
     out = np.empty((rows, ROWS * BANDS), np.uint32)
-    mixed = _mix(codes)
-    a = 0
+    mixed, a = _mix(codes), 0
     while a < rows:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + 65536, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + 16384, "right")) - 1)
         x, starts = mixed[offsets[a] : offsets[b]], offsets[a:b] - offsets[a]
+        h = np.empty_like(x)
         for j in range(ROWS * BANDS):
-            h = x * _FACTORS[j]
-            h += _SHIFTS[j]
-            h ^= h >> np.uint32(15)
+            np.multiply(x, _FACTORS[j], out=h)
+            np.add(h, _SHIFTS[j], out=h)
             out[a:b, j] = np.minimum.reduceat(h, starts)
         a = b
     return out
