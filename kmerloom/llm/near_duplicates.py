@@ -15,7 +15,7 @@ out; records of equal content are pairs with each other; repeated rows of one id
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.llm.components import connected_components
@@ -65,6 +65,8 @@ def class_pairs(df: DataFrame, key: str = "record_id", data: str = "data") -> tu
     reps = full.groupBy("digest").agg(F.min("id").alias("rep"))
     members = cut(full.select("id", "digest").distinct().join(reps, "digest").select("id", "rep"))
     index = full.join(members.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", F.explode("keys").alias("key"))
+    # most keys are of one class only: they are dropped in one pass over the sorted index, before it is joined to itself
+    index = cut(index.withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("lists > 1").drop("lists"))
     left = index.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "key")
     right = index.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "key")
     found = left.join(right, "key").where(F.col("a") < F.col("b")).where(size_fits("n_a", "n_b"))
