@@ -286,3 +286,30 @@ def tree_merges(spark: SparkSession, d: str) -> DataFrame:
 def set_names(spark: SparkSession, d: str) -> DataFrame:
     """Members of stored sets by name: how often each is a member, and in how many sets."""
     return set_members(spark, d).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("set_id").alias("sets"))
+
+
+@query
+def stored_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Stored statistics of past selections against those made anew from the vectors: equal to 6 decimals or not."""
+    stats = jsd.set_statistics(jsd.leave_one_out(long_sets(spark, d), ["set_id"]), ["set_id"])
+    old = table(spark, d, "summed_records").select("set_id", F.col("total_jsd").alias("old_total"), F.col("lowest_index").alias("old_lowest"), F.col("mean_delta_jsd").alias("old_mean"), F.col("std_delta_jsd").alias("old_std"))
+
+    def close(a: str, b: str) -> F.Column:
+        return F.abs(F.col(a) - F.col(b)) < 1e-6
+
+    same = old.join(stats, "set_id", "left")
+    return same.select("set_id", close("old_total", "total_jsd").alias("total"), (F.col("old_lowest") == F.col("lowest")).alias("lowest"), close("old_mean", "mean_delta_jsd").alias("mean"), close("old_std", "std_delta_jsd").alias("std"))
+
+
+@query
+def store_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Stored entries by source and moltype, written alike: entries and distinct digests."""
+    rows = table(spark, d, "zarr_store").select(F.lower(F.col("metadata")["source"]).alias("source"), F.lower(F.col("metadata")["moltype"]).alias("moltype"), F.lower("seqid_to_hash").alias("digest"))
+    return rows.groupBy("source", "moltype").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("digest").alias("n_unique"))
+
+
+@query
+def stored_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose content the store holds, under whichever name."""
+    held = table(spark, d, "zarr_store").select(F.lower("seqid_to_hash").alias("digest")).where("digest is not null").distinct()
+    return table(spark, d, "seq_array").select("record_id", F.substring(F.md5("data"), 1, 16).alias("digest")).join(held, "digest", "left_semi").select("record_id", "digest")

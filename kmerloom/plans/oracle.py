@@ -127,4 +127,8 @@ SELECT set_id, member, arg_min(other, (round(distance, 9), other)) AS nearest, r
     "mash_distances": f"WITH {_sketches(False)}{_MASH}",
     "canonical_mash_distances": f"WITH {_sketches(True)}{_MASH}",
     "set_names": "SELECT name, count(*) AS n, count(DISTINCT set_id) AS sets FROM (SELECT set_id, unnest(seqids) AS name FROM summed_records) GROUP BY 1",
+    "stored_sets": f"""WITH {_SETS}, n AS (SELECT q.set_id, max(total_jsd) AS t, max(lowest) AS lo, avg(delta_jsd) AS m, stddev_samp(delta_jsd) AS sd FROM q JOIN low USING (set_id) GROUP BY 1)
+SELECT r.set_id, abs(r.total_jsd - t) < 1e-6 AS total, lowest_index = lo AS lowest, abs(mean_delta_jsd - m) < 1e-6 AS mean, abs(std_delta_jsd - sd) < 1e-6 AS std FROM summed_records r LEFT JOIN n ON n.set_id = r.set_id""",
+    "store_metadata": "SELECT lower(metadata['source']) AS source, lower(metadata['moltype']) AS moltype, count(*) AS n, count(DISTINCT lower(seqid_to_hash)) AS n_unique FROM zarr_store GROUP BY 1, 2",
+    "stored_records": "SELECT record_id, substr(md5(data), 1, 16) AS digest FROM seq_array WHERE substr(md5(data), 1, 16) IN (SELECT lower(seqid_to_hash) FROM zarr_store WHERE seqid_to_hash IS NOT NULL)",
 }
