@@ -240,8 +240,10 @@ def build_graph(rows: DataFrame, length: int, k: int = NEIGHBOURS, trees: int =
     members = rows.select("name", "h").join(vectors.select("id", "h"), "h").select("name", "id")
     count = vectors.count()
     depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(count, 1) / LEAF)))))
-    picked = vectors.select("h", "vec").orderBy(F.xxhash64("h"), "h").limit(SAMPLE_A_LEAF << depth).collect() if depth else []
-    sample = np.array([np.frombuffer(r.vec, np.float64) for r in picked], np.float32).reshape(-1, length)
+    # a sample by hash of about that many: a sorted limit would bring as many rows of every partition to the driver
+    share = int((1 << 30) * min(1.0, (SAMPLE_A_LEAF << depth) / max(count, 1)))
+    picked = vectors.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share).select("h", "vec").collect() if depth else []
+    sample = np.array([np.frombuffer(r.vec, np.float64) for r in sorted(picked, key=lambda r: r.h)], np.float32).reshape(-1, length)
     shared = rows.sparkSession.sparkContext.broadcast(Forest.fit(sample, depth, trees if depth else 1))
     home = vectors.select("id", "vec").mapInArrow(lambda b: _home(b, shared.value, length), "id bigint, home bigint, x binary")
     leaves = vectors.select("id", "vec").mapInArrow(lambda b: _assign(b, shared.value, length), "g bigint, id bigint, x binary")
