@@ -16,6 +16,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).where("x <> y").distinct())
     labels = cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).withColumnRenamed("x", "id"))
+
+    def roots() -> object:
+        # roots never rise, so an equal sum is an equal labelling
+        return labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
+
+    total = roots()
     while True:
         near = both.join(labels.withColumnRenamed("id", "y"), "y").groupBy("x").agg(F.min("root").alias("near"))
         seen = labels.join(near, labels.id == near.x, "left").select("id", "root", F.least("root", F.coalesce("near", "root")).alias("new"))
@@ -23,8 +29,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         offered = seen.select(F.col("id").alias("id"), "new").unionByName(seen.select(F.col("root").alias("id"), "new")).groupBy("id").agg(F.min("new").alias("root"))
         up = offered.select(F.col("id").alias("p"), F.col("root").alias("up"))
         jumped = offered.join(up, offered.root == up.p, "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root"))
-        nxt = cut(jumped)
-        changed = nxt.join(labels.withColumnRenamed("root", "was"), "id").where("root <> was").limit(1).count()
-        labels = nxt
-        if not changed:
+        labels = cut(jumped)
+        before, total = total, roots()
+        if total == before:
             return labels
