@@ -32,7 +32,7 @@ MAX_DEPTH, SAMPLE_A_LEAF = 11, 48
 #: Nodes of a block of neighbour descent.
 BLOCK = 4000
 ROUNDS, ENOUGH = 3, 0.005
-BEAM = 32
+BEAM = 64
 
 LIST = "array<struct<d: double, v: bigint>>"
 _LIST = pa.list_(pa.struct([("d", pa.float64()), ("v", pa.int64())]))
@@ -298,13 +298,15 @@ def greedy_search(g: Graph, queries: DataFrame, beam: int = BEAM, hops: int = 12
     start = queries.select("q", F.col("q").alias("v")).withColumn("d", F.lit(0.0)).withColumn("open", F.lit(True))
     mine = cut(queries.join(g.vectors.select(F.col("id").alias("q"), F.col("vec").alias("qv")), "q"))
     seen = cut(start)
+    # links are walked both ways: a node that is in nobody's list is reached from its own
+    out = g.nodes.select("id", F.explode(F.transform("nbrs", lambda e: e.v)).alias("w"))
+    links = cut(out.select(F.col("id").alias("v"), F.col("w").alias("next")).unionByName(out.select(F.col("w").alias("v"), F.col("id").alias("next"))))
     for _ in range(hops):
         frontier = seen.where("open")
         size = frontier.count()
         if not size:
             break
-        lists = g.nodes.select(F.col("id").alias("v"), F.transform("nbrs", lambda e: e.v).alias("next"))
-        reached = small_side(frontier.select("q", "v"), size, 16).join(lists, "v").select("q", F.explode("next").alias("v")).distinct()
+        reached = small_side(frontier.select("q", "v"), size, 16).join(links, "v").select("q", F.col("next").alias("v")).distinct()
         new = cut(reached.join(seen.select("q", "v"), ["q", "v"], "left_anti"))
         pairs = small_side(new, new.count(), 16).join(g.vectors.select(F.col("id").alias("v"), "vec"), "v")
         pairs = small_side(mine, number, 8 * length + 8).join(pairs, "q").select("q", "v", "qv", "vec")
