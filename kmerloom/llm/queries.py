@@ -1,4 +1,4 @@
-"""The registered queries of problems 1 to 9, each over its whole tables, and their SQL where SQL can express them."""
+"""The registered queries of problems 1 to 9, each over its whole tables; their SQL is in llm/oracle.py."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import bpe, clusters, history, leaks, near_duplicates, neighbours, nn_graph, term_counts, varied, visual_form
+from kmerloom.llm.oracle import ORACLE_SQL
 from kmerloom.session import spread
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -83,15 +85,6 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.term_counts(spread(table(spark, d, "kmer_seq").select("seqid", "kfreqs")), 4096).where("mark is not null").select("kmer_index", "mark")
 
 
-ORACLE_SQL["p6_found"] = """
-WITH v AS (SELECT DISTINCT seqid, kfreqs FROM kmer_seq WHERE len(kfreqs) = 4096 AND NOT isnan(kfreqs[1])),
-u AS (SELECT seqid, min(kfreqs) AS kfreqs FROM v GROUP BY seqid),
-t AS (SELECT CAST(i - 1 AS INTEGER) AS kmer_index, count(*) AS n FROM (SELECT unnest(kfreqs) AS f, unnest(range(1, 4097)) AS i FROM u) WHERE f <> 0 GROUP BY 1),
-m AS (SELECT kmer_index, CASE WHEN 100 * n < 3 * (SELECT count(*) FROM u) THEN 'rare' WHEN 100 * n > 28 * (SELECT count(*) FROM u) THEN 'common' END AS mark FROM t)
-SELECT kmer_index, mark FROM m WHERE mark IS NOT NULL
-"""
-
-
 @query
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.term_counts(spread(table(spark, d, "kmer_seq").select("seqid", "kfreqs")), 4096)
@@ -110,9 +103,6 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.join(docs, "doc_id").groupBy((F.coalesce("text", F.lit("")) == F.col("back")).alias("equal")).agg(F.count(F.lit(1)).alias("documents"))
 
 
-ORACLE_SQL["p7_round_trip"] = "SELECT true AS equal, count(*) AS documents FROM documents"
-
-
 @query
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
