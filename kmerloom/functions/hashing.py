@@ -6,6 +6,8 @@ at the start, and the finaliser does not.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,10 +21,19 @@ MASK = 0xFFFFFFFF
 
 def hash_codes(symbols: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hashes of the rows of a (rows, k) matrix of codes; seed 0 is the default seed."""
+    return _hash((symbols[:, j] for j in range(symbols.shape[1])), *symbols.shape, seed)
+
+
+def hash_numbers(code: np.ndarray, k: int, num_states: int = 4, seed: int = 0) -> np.ndarray:
+    """Hashes of k-mer numbers, one symbol at a time."""
+    return _hash((code // num_states**j % num_states for j in range(k - 1, -1, -1)), len(code), k, seed)
+
+
+def _hash(columns: Iterable[np.ndarray], rows: int, k: int, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = np.full(len(symbols), (seed or DEFAULT_SEED) ^ symbols.shape[1], np.uint32)
-        for j in range(symbols.shape[1]):
-            x = symbols[:, j].astype(np.uint32) * np.uint32(C1)
+        h = np.full(rows, (seed or DEFAULT_SEED) ^ k, np.uint32)
+        for symbol in columns:
+            x = symbol.astype(np.uint32) * np.uint32(C1)
             x = ((x << np.uint32(15)) | (x >> np.uint32(17))) * np.uint32(C2)
             h ^= x
             h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(M5) + np.uint32(N5)
@@ -34,11 +45,6 @@ def hash_codes(symbols: np.ndarray, seed: int = 0) -> np.ndarray:
     return h
 
 
-def digits_of(code: np.ndarray, k: int, num_states: int = 4) -> np.ndarray:
-    """(rows, k) codes of k-mer numbers."""
-    return (code[:, None] // num_states ** np.arange(k - 1, -1, -1, dtype=np.int64)) % num_states
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two arrays as sets; null if both are empty."""
     union = F.size(F.array_union(a, b))

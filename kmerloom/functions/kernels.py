@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 
+#: Symbols worked on at once; a longer row is worked on alone.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of rows with at most `limit` bytes in a binary column, so that memory does not follow the rows' length."""
+    for b in batches:
+        sizes = np.diff(binary_parts(b.column(column))[1])
+        if sizes.sum() <= limit:
+            yield b
+            continue
+        a, held = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if i > a and held + n > limit:
+                yield b.slice(a, i - a)
+                a, held = i, 0
+            held += n
+        yield b.slice(a)
+
+
 def binary_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, row offsets) of a binary column; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

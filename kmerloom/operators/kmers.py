@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.functions.hashing import digits_of, hash_codes
-from kmerloom.functions.kernels import binary_parts, lists, row_sets, window_codes
+from kmerloom.functions.hashing import hash_numbers
+from kmerloom.functions.kernels import binary_parts, lists, row_sets, slices, window_codes
 from kmerloom.operators.jsd import g
 from kmerloom.session import spread
 
@@ -29,7 +29,7 @@ def _reverse(code: np.ndarray, k: int) -> np.ndarray:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch], k: int, num_states: int, canonical: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         data, offsets = binary_parts(b.column(1))
         row, code = window_codes(data, offsets, k, num_states)
         if canonical:
@@ -84,13 +84,13 @@ def _dense(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], k: int, size: int | None, num_states: int, canonical: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         data, offsets = binary_parts(b.column(1))
         row, code = window_codes(data, offsets, k, num_states)
         if canonical:
             code = np.minimum(code, _reverse(code, k))
         distinct, _, o = row_sets(row, code, len(b), num_states**k)
-        h = hash_codes(digits_of(distinct, k, num_states)).astype(np.int64)
+        h = hash_numbers(distinct, k, num_states).astype(np.int64)
         hashes, _, o = row_sets(np.repeat(np.arange(len(b)), np.diff(o)), h, len(b), 1 << 32)
         if size is not None:
             sizes = np.minimum(np.diff(o), size)

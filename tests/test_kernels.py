@@ -100,3 +100,23 @@ def test_canonical_counts_are_strand_free(spark):
     back = [(x + 2) % 4 for x in s[::-1]]
     got = [(list(r.idx), list(r.cnt)) for r in kmers.kmer_vectors(frame(spark, [("a", s), ("b", back)]), 3, canonical=True).collect()]
     assert got[0] == got[1]
+
+
+def test_slices_give_the_same(spark, monkeypatch):
+    import pyarrow as pa
+
+    from kmerloom.functions import kernels
+
+    rng = np.random.default_rng(3)
+    data = [None if n == 7 else rng.integers(0, 5, n, dtype=np.uint8).tobytes() for n in rng.integers(0, 40, 200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(data, pa.binary())], ["id", "data"])
+    parts = list(kernels.slices(iter([batch]), limit=60))
+    assert len(parts) > 50 and pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
+    whole = pa.Table.from_batches(kmers._vectors(iter([batch]), 3, 4, False)).to_pydict()
+    assert pa.Table.from_batches(kmers._vectors(iter(parts), 3, 4, False)).to_pydict() == whole
+
+
+def test_hash_of_numbers():
+    codes = np.random.default_rng(1).integers(0, 4, (50, 9))
+    numbers = (codes * 4 ** np.arange(8, -1, -1)).sum(1)
+    assert (hashing.hash_numbers(numbers, 9) == hashing.hash_codes(codes)).all()
