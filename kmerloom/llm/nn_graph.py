@@ -27,8 +27,8 @@ from kmerloom.session import cut, small_side
 NEIGHBOURS = 16
 TREES = 4
 LEAF = 1000
-#: The trees have at most 2 ** MAX_DEPTH leaves and are fitted on SAMPLE_A_LEAF vectors a leaf.
-MAX_DEPTH, SAMPLE_A_LEAF = 11, 48
+#: The trees have at most 2 ** MAX_DEPTH leaves and are fitted on about SAMPLE_A_LEAF vectors a leaf, MAX_SAMPLE in all.
+MAX_DEPTH, SAMPLE_A_LEAF, MAX_SAMPLE = 14, 48, 1 << 19
 #: Nodes of a block of neighbour descent.
 BLOCK = 4000
 ROUNDS, ENOUGH = 3, 0.005
@@ -241,7 +241,7 @@ def build_graph(rows: DataFrame, length: int, k: int = NEIGHBOURS, trees: int =
     count = vectors.count()
     depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(count, 1) / LEAF)))))
     # a sample by hash of about that many: a sorted limit would bring as many rows of every partition to the driver
-    share = int((1 << 30) * min(1.0, (SAMPLE_A_LEAF << depth) / max(count, 1)))
+    share = int((1 << 30) * min(1.0, min(SAMPLE_A_LEAF << depth, MAX_SAMPLE) / max(count, 1)))
     picked = vectors.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share).select("h", "vec").collect() if depth else []
     sample = np.array([np.frombuffer(r.vec, np.float64) for r in sorted(picked, key=lambda r: r.h)], np.float32).reshape(-1, length)
     shared = rows.sparkSession.sparkContext.broadcast(Forest.fit(sample, depth, trees if depth else 1))

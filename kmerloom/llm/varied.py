@@ -206,7 +206,9 @@ def choose_varied(rows: DataFrame, requests: DataFrame, length: int, record: str
     quota = spark.createDataFrame(amounts, "request bigint, kind int, band int, quota bigint")
     rank = F.row_number().over(Window.partitionBy("request", "kind", "band").orderBy(F.desc("gain"), F.desc_nulls_last("past"), "name"))
     ranked = categories.join(F.broadcast(quota), ["request", "kind", "band"]).join(distinct.select("h", "past"), "h").join(heads, ["request", "h"])
-    picked = ranked.withColumn("place", rank).where(F.col("place") <= F.col("quota")).select("request", "name")
+    # the greatest quota, as a number, lets Spark cut the ranks before it shuffles a large combination
+    most = max([n for *_, n in amounts], default=0)
+    picked = ranked.withColumn("place", rank).where((F.col("place") <= most) & (F.col("place") <= F.col("quota"))).select("request", "name")
     # copies fill only pools whose distinct vectors do not suffice
     short = [(q.r, q.n - sum(counts.get(q.r, {}).values())) for q in asked if sum(counts.get(q.r, {}).values()) < q.n]
     if short:
