@@ -25,26 +25,31 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def graph(spark: SparkSession, d: str) -> nn_graph.Graph:
+def graph(spark: SparkSession, d: str, rounds: int = nn_graph.ROUNDS) -> nn_graph.Graph:
     """The neighbour graph of the usable k=3 vectors."""
-    return nn_graph.build_graph(nn_graph.usable_vectors(spread(table(spark, d, "kmer_seq").select("seqid", "kfreqs")), 64), 64)
+    return nn_graph.build_graph(nn_graph.usable_vectors(spread(table(spark, d, "kmer_seq").select("seqid", "kfreqs")), 64), 64, rounds=rounds)
+
+
+def link_graph(spark: SparkSession, d: str) -> nn_graph.Graph:
+    """The graph for clusters, which need links rather than the nearest ten: what it lacks is found by the exact check."""
+    return graph(spark, d, rounds=2)
 
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.cluster_of_names(graph(spark, d)).withColumnRenamed("name", "seqid")
+    return clusters.cluster_of_names(link_graph(spark, d)).withColumnRenamed("name", "seqid")
 
 
 @query
 def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Size and most typical seqids of each cluster."""
-    return clusters.descriptions(graph(spark, d))
+    return clusters.descriptions(link_graph(spark, d))
 
 
 @query
 def p1_communities(spark: SparkSession, d: str) -> DataFrame:
     """Size and most typical seqids of each community of the clusters."""
-    return clusters.descriptions(graph(spark, d), by="community")
+    return clusters.descriptions(link_graph(spark, d), by="community")
 
 
 @query
