@@ -34,8 +34,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 64 << 20
 # Fixed value: the public pattern that cuts a text into pieces for this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces kept with their ids by each worker.
-KEPT_PIECES = 400_000
+#: Pieces with their ids, states, and answers about pairs of tokens that a worker keeps; beyond, it forgets and makes them anew.
+KEPT_PIECES, KEPT_STATES, KEPT_PAIRS = 400_000, 200_000, 500_000
 
 
 class Transducer:
@@ -87,6 +87,8 @@ class Transducer:
             return True
         known = self._fits.get((left, right))
         if known is None:
+            if len(self._fits) >= KEPT_PAIRS:
+                self._fits.clear()
             known = self._fits[(left, right)] = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
 
@@ -125,7 +127,7 @@ class Transducer:
             if emitted:
                 out += emitted
         out += self.states[state][-1][2]
-        if len(self.states) > 300_000:  # forget what was determinised, not what is correct
+        if len(self.states) > KEPT_STATES:
             self.states, self.numbers, self.steps = self.states[:1], {self.states[0]: 0}, [{}]
         return out
 

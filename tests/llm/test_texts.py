@@ -137,3 +137,14 @@ def test_encode_table(spark, reference):
     back = bpe.decode_ids(bpe.encode_texts(df)).select("doc_id", F.col("text")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in back) == sorted((k or 0, t or "") for k, t, _ in rows)
     assert bpe.encode_texts(df.limit(0)).collect() == []
+
+
+def test_bounds_of_what_is_kept_change_nothing(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_STATES", 50)
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 20)
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 5)
+    t = bpe.Tokenizer(bpe.read_vocabulary())
+    rng = random.Random(8)
+    for _ in range(300):
+        x = "".join(rng.choices("abcdefgh éß中 019", k=60))
+        assert t.encode(x) == reference(x)
