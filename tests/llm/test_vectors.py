@@ -97,6 +97,48 @@ def test_descriptions(data, graph):
     assert sum(r["size"] for r in parts) == len(data[0])
 
 
+def test_communities_are_settled(graph):
+    """No two communities are left whose union would raise modularity, nor on the first level a node whose move would."""
+    pairs = clusters.links(graph).cache()
+    of = {r.id: r.community for r in clusters.communities(graph, pairs).collect()}
+    assert len(of) == graph.count
+    links = [(r.a, r.b, 1 - 0.5 * r.d / 0.08) for r in pairs.where(F.col("rank") < clusters.LINKS).collect()]
+    links += [(b, a, w) for a, b, w in links]
+    degree = {}
+    for a, _, w in links:
+        degree[a] = degree.get(a, 0) + w
+    whole = sum(degree.values())
+
+    def sums(of):
+        total, between = {}, {}
+        for a, w in degree.items():
+            total[of[a]] = total.get(of[a], 0) + w
+        for a, b, w in links:
+            between[of[a], of[b]] = between.get((of[a], of[b]), 0) + w
+        return total, between
+
+    total, between = sums(of)
+    assert all(w <= total[a] * total[b] / whole + 1e-6 for (a, b), w in between.items() if a != b)
+    edges = pairs.sparkSession.createDataFrame(links, "x bigint, y bigint, w double")
+    of = {r.id: r.c for r in clusters.local_moving(edges).collect()}
+    total, to = sums(of)[0], {}
+    for a, b, w in links:
+        to[a, of[b]] = to.get((a, of[b]), 0) + w
+    stays = {a: to.get((a, of[a]), 0) - degree[a] * (total[of[a]] - degree[a]) / whole for a in degree}
+    assert not [a for (a, c), w in to.items() if c != of[a] and w - degree[a] * total[c] / whole > stays[a] + 1e-6]
+
+
+def test_local_moving_by_joins_and_in_a_task(spark, monkeypatch):
+    """A ring of cliques: each is one community, whichever way the level is moved."""
+    links = [(7 * q + i, 7 * q + j, 1.0) for q in range(6) for i in range(7) for j in range(i)] + [(7 * q, (7 * q + 8) % 42, 0.5) for q in range(6)]
+    edges = spark.createDataFrame(links + [(b, a, w) for a, b, w in links] + [(3, 3, 0.25)], "x bigint, y bigint, w double").cache()
+    held = {r.id: r.c for r in clusters.local_moving(edges).collect()}
+    monkeypatch.setattr(clusters, "HELD_EDGES", 0)
+    joined = {r.id: r.c for r in clusters.local_moving(edges).collect()}
+    assert held == joined
+    assert len({(i // 7, c) for i, c in held.items()}) == len(set(held.values())) == 6
+
+
 def nearest(names, x, i, k):
     d = np.round(distances(x)[i] if len(x) < 2000 else np.sqrt(((x - x[i]) ** 2).sum(1)), 9)
     return [names[j] for j in sorted(range(len(x)), key=lambda j: (d[j], names[j])) if j != i][:k]
