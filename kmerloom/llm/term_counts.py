@@ -8,7 +8,9 @@ partition. Rows of one record that stand in one batch are dropped before the shu
 repeated rows does not make a large partition.
 
 The number of occurrences in a record is its frequency times the smallest total for which all frequencies of the
-record are whole multiples.
+record are whole multiples: a few totals are tried, for the others the ratios to the least frequency are written as
+fractions (continued fractions), whose least common denominator is the least count. Frequencies of no such total (their
+least count would be over MOST) count by their ratios to the least, rounded.
 
 Defined cases: null and NaN vectors, null record names and vectors of another length are not counted; an empty table
 gives no rows; a term that occurs nowhere gives no row; further columns are not read.
@@ -16,15 +18,19 @@ gives no rows; a term that occurs nowhere gives no row; further columns are not
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Totals up to so many times 1 / (smallest frequency) are tried.
+#: Totals up to so many times 1 / (smallest frequency) are tried before fractions are made.
 MULTIPLES = 64
+#: Least count of a record up to which double precision tells fractions apart.
+MOST = 1_000_000
 #: A term in less than RARE of the records is rare, in more than COMMON of them common (parts of 100).
 RARE, COMMON = 3, 28
 
@@ -39,6 +45,16 @@ def whole_counts(f: np.ndarray) -> np.ndarray:
         r = np.rint(c)
         if np.abs(c - r).max() < 1e-6 * max(1.0, r.max()):
             return r.astype(np.int64)
+    m = 1
+    for ratio in np.unique(f * unit):
+        m = math.lcm(m, Fraction(float(ratio)).limit_denominator(MOST).denominator)
+        if m > MOST:
+            break
+    else:
+        c = f * (unit * m)
+        r = np.rint(c)
+        if np.abs(c - r).max() < 1e-6 * max(1.0, r.max()):
+            return r.astype(np.int64)
     return np.rint(f * unit).astype(np.int64)
 
 

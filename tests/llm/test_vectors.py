@@ -252,6 +252,15 @@ def test_term_counts(spark):
     assert term_counts.term_counts(df.limit(0), 32).collect() == []
 
 
+def test_whole_counts_of_large_least_counts():
+    rng = np.random.default_rng(9)
+    made = [np.array([332, 332, 331]), np.array([65, 66]), np.array([9973, 10007, 19979])] + [rng.integers(65, 3000, n) for n in (2, 5, 40, 300) for _ in range(20)]
+    for c in made:
+        assert term_counts.whole_counts(c / c.sum()).tolist() == (c // np.gcd.reduce(c)).tolist()
+    # no total of moderate size
+    assert term_counts.whole_counts(np.array([1, np.pi, np.e]) / (1 + np.pi + np.e)).tolist() == [1, 3, 3]
+
+
 def test_components(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 5000)]
