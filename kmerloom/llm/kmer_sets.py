@@ -68,7 +68,7 @@ def keys(signature: np.ndarray) -> np.ndarray:
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, data): id, n (distinct k-mers), digest of the set, keys. Rows without a k-mer are left out."""
+    """From (id, data, ...): id, n (distinct k-mers), digest of the set, keys, further columns. Rows without a k-mer are left out."""
     for b in slices(batches):
         ids = b.column(0).to_numpy(zero_copy_only=False)
         data, offsets = binary_parts(b.column(1))
@@ -80,8 +80,8 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = [hashlib.blake2b(codes[o[i] : o[i + 1]].tobytes(), digest_size=16).digest() for i in kept]
         own = keys(signatures(codes, np.append(o[kept], len(codes)))) if len(kept) else np.empty((0, BANDS), np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[kept], pa.int64()), pa.array(n[kept], pa.int32()), pa.array(digests, pa.binary()), lists(own.ravel(), np.arange(len(kept) + 1) * BANDS, pa.int64())],
-            ["id", "n", "digest", "keys"],
+            [pa.array(ids[kept], pa.int64()), pa.array(n[kept], pa.int32()), pa.array(digests, pa.binary()), lists(own.ravel(), np.arange(len(kept) + 1) * BANDS, pa.int64()), *[b.column(i).take(pa.array(kept)) for i in range(2, b.num_columns)]],
+            ["id", "n", "digest", "keys", *b.schema.names[2:]],
         )
 
 
@@ -94,9 +94,9 @@ def one_set(data: bytes) -> np.ndarray:
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (a, b, data_a, data_b): the pairs (a, b) at or above the threshold, exactly."""
+    """From (a, b, data_a, data_b): the pairs (a, b) at or above the threshold, exactly, and whether their sets are equal."""
     for batch in batches:
-        first, first_set, kept = None, None, []
+        first, first_set, kept, same = None, None, [], []
         left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         for i, (x, y) in enumerate(zip(left, right)):
             if x is not first and x != first:
@@ -105,4 +105,6 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = len(np.intersect1d(first_set, other, assume_unique=True))
             if DEN * both >= NUM * (len(first_set) + len(other) - both) > 0:
                 kept.append(i)
-        yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+                same.append(len(first_set) == len(other) == both)
+        chosen = batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(same, pa.bool_())], ["a", "b", "same"])

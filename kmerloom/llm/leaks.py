@@ -5,10 +5,11 @@ of the matches are mapped back to offsets of the text as stored.
 
 Words are runs of letters and digits of the consistent form, without case; tags in <> or [], entities, line breaks,
 quote marks and punctuation only separate them. The patterns are all runs of `words` words of an item, so a document
-matches an item if and only if it has at least so many consecutive words of it.
+matches an item if and only if it has at least so many consecutive words of it. The automaton's symbols are numbers of
+words, which keeps it at one node a word of a pattern (about 100 MB for 250,000 words of items).
 
-The automaton is made from the items, which are few; their size is checked (MAX_ITEM_CHARS). Items beyond the bound
-are matched by an equi-join on digests of word runs instead, with the same rows.
+Items of more than MAX_ITEM_CHARS in all are spread by their id over several automata of at most about that size, each
+of which scans the texts, so that no worker holds more than one; an item stands in one of them, so rows are the same.
 
 Defined cases: null, empty and blank texts, on either side, and items of fewer than `words` words match nothing;
 a passage that several items share leaks each of them; repeated documents rows are scanned each, and one row comes
@@ -17,9 +18,9 @@ out for each pair of ids; rows with a null id are left out; columns beyond the t
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -29,33 +30,28 @@ from pyspark.sql import functions as F
 from kmerloom.llm.visual_form import original_offset, visual_form, visual_form_spans
 
 WORDS = 8
-MAX_ITEM_CHARS = 32 << 20
+#: Characters of items that one automaton takes.
+MAX_ITEM_CHARS = 1 << 20
 TOKEN = re.compile(r"<[^<>\n]*>|\[[^\[\]\n]*\]|&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);|([^\W_]+)")
 
 
-def words_of(text: str) -> tuple[list[str], list[tuple[int, int]], list[tuple[int, int, int, int]]]:
-    """Words without case, their places in the consistent form, and the form's splices."""
-    form, spans = visual_form_spans(text)
-    found, places = [], []
-    for m in TOKEN.finditer(form):
-        if m.lastindex:
-            found.append(m.group().casefold())
-            places.append(m.span())
-    return found, places, spans
+def words_of(text: str) -> list[str]:
+    """Words without case (no character's case folding has a space)."""
+    return " ".join(filter(None, TOKEN.findall(visual_form(text)))).casefold().split()
 
 
 class Automaton:
-    """All runs of n words of the items; a pattern knows its items."""
+    """All runs of n words of the items, as numbers of words; a pattern knows its items."""
 
     def __init__(self, items: list[tuple[int, str]], n: int) -> None:
-        self.n, owners = n, {}
+        self.n, self.numbers, owners = n, {}, {}
         for item, text in items:
-            w = words_of(text)[0]
+            w = tuple(self.numbers.setdefault(x, len(self.numbers) + 1) for x in words_of(text))
             for i in range(len(w) - n + 1):
-                owners.setdefault(" " + " ".join(w[i : i + n]) + " ", set()).add(item)
-        self.trie = ahocorasick.Automaton()
+                owners.setdefault(w[i : i + n], set()).add(item)
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for pattern, ids in owners.items():
-            self.trie.add_word(pattern, (len(pattern), sorted(ids)))
+            self.trie.add_word(pattern, sorted(ids))
         if owners:
             self.trie.make_automaton()
         self.empty = not owners
@@ -64,21 +60,18 @@ class Automaton:
         """By item: offsets in the text of the first matched run's start and the last one's end, and the number of runs."""
         if self.empty or not text:
             return {}
-        # most texts leak nothing: places are made only for those that do
-        line = (" " + " ".join(filter(None, TOKEN.findall(visual_form(text)))) + " ").casefold()
-        if next(self.trie.iter(line), None) is None:
-            return {}
-        w, places, spans = words_of(text)
+        symbols = tuple(map(self.numbers.get, words_of(text), repeat(0)))
         hits: dict[int, list[int]] = {}
-        for end, (size, ids) in self.trie.iter(line):
+        for end, ids in self.trie.iter(symbols):
             for item in ids:
-                h = hits.setdefault(item, [end - size + 1, end, 0])
+                h = hits.setdefault(item, [end - self.n + 1, end, 0])
                 h[1], h[2] = end, h[2] + 1
-        starts, ends, at = {}, {}, 0
-        for i, x in enumerate(w):
-            starts[at], ends[at + len(x) + 1] = i, i
-            at += len(x) + 1
-        return {k: (original_offset(spans, places[starts[a]][0]), original_offset(spans, places[ends[b]][1], True), c) for k, (a, b, c) in hits.items()}
+        if not hits:
+            return {}
+        # most texts leak nothing: places are made only for those that do
+        form, spans = visual_form_spans(text)
+        places = [m.span() for m in TOKEN.finditer(form) if m.lastindex]
+        return {k: (original_offset(spans, places[a][0]), original_offset(spans, places[b][1], True), c) for k, (a, b, c) in hits.items()}
 
 
 _built: dict[tuple[int, int], Automaton] = {}  # of this worker process
@@ -94,11 +87,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str
     spark = docs.sparkSession
     chosen = items.select(F.col(item).cast("bigint").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").distinct()
     source = docs.select(F.col(key).cast("bigint").alias("i"), F.col(text).alias("t")).where("i is not null and length(t) > 0")
-    if (chosen.agg(F.sum(F.length("t"))).first()[0] or 0) > MAX_ITEM_CHARS:
-        return _by_digest(source, chosen, words)
-    shared = spark.sparkContext.broadcast([(r.i, r.t) for r in chosen.collect()])
-
-    return source.mapInArrow(lambda batches: _scan(batches, shared.value, words), SCHEMA)
+    shards = max(1, -(-(chosen.agg(F.sum(F.length("t"))).first()[0] or 0) // MAX_ITEM_CHARS))
+    found = None
+    for shard in range(shards):
+        # about MAX_ITEM_CHARS characters, whatever the number of items
+        held = chosen.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == shard).collect()
+        shared = spark.sparkContext.broadcast([(r.i, r.t) for r in held])
+        part = source.mapInArrow(lambda batches, b=shared: _scan(batches, b.value, words), SCHEMA)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def _scan(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], words: int) -> Iterator[pa.RecordBatch]:
@@ -114,25 +111,3 @@ def _scan(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], words
 
 def _table(rows: list[tuple], names: tuple[str, ...], kinds: tuple[pa.DataType, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names)
-
-
-def _runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Each run of n words: its digest and its place in the text."""
-    for b in batches:
-        out: list[tuple[int, bytes, int, int]] = []
-        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            w, places, spans = words_of(t)
-            for i in range(len(w) - n + 1):
-                digest = hashlib.blake2b(" ".join(w[i : i + n]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                out.append((d, digest, original_offset(spans, places[i][0]), original_offset(spans, places[i + n - 1][1], True)))
-        yield _table(out, ("i", "g", "a", "b"), (pa.int64(), pa.binary(), pa.int32(), pa.int32()))
-
-
-def _by_digest(source: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """The same leaks by an equi-join on digests of word runs, for items too large for one automaton."""
-
-    schema = "i bigint, g binary, a int, b int"
-    mine = items.mapInArrow(lambda x: _runs(x, n), schema).select(F.col("i").alias("item_id"), "g").distinct()
-    theirs = source.mapInArrow(lambda x: _runs(x, n), schema).withColumnRenamed("i", "doc_id")
-    found = theirs.join(mine, "g").groupBy("doc_id", "item_id")
-    return found.agg(F.min("a").alias("start"), F.max("b").alias("stop"), F.count(F.lit(1)).cast("int").alias("runs"))

@@ -4,7 +4,8 @@ Method: inverted index of positional signature bytes with count filtering. Recor
 class, of which only the smallest record is indexed, so copies cost nothing. Each class has BANDS index keys (place and
 bytes, see kmer_sets). Pairs of classes are tallied by the keys they share; a pair of the threshold's similarity shares
 LEAST or more but for a chance of 9e-6, and pairs whose sizes alone exclude the threshold are not tallied. What reaches
-the minimum is verified exactly on the records themselves.
+the minimum is verified exactly on the records themselves. The entries of a key that many classes share are split over
+salts before they are paired, so that no task pairs more than HOT entries with the list of one key.
 
 The plain index of all k-mers, with the minimum number of shared k-mers that the threshold guarantees, is exact but
 grows with the square of the table: at 1,206 records 16 % of all pairs already share a k-mer.
@@ -24,6 +25,8 @@ from kmerloom.session import cut, spread
 
 #: Rows of a class with many members are spread over so many salts.
 SALTS = 16
+#: Entries of one key that a task takes on one side of its pairs.
+HOT = 1000
 
 
 def salts() -> F.Column:
@@ -34,9 +37,11 @@ def salt(column: str) -> F.Column:
     return F.pmod(F.xxhash64(column), F.lit(SALTS).cast("bigint"))
 
 
-def described(df: DataFrame, key: str = "record_id", data: str = "data") -> DataFrame:
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(data).alias("data")).where("id is not null and length(data) > 0")
-    return spread(rows).mapInArrow(describe, DESCRIBED)
+def described(df: DataFrame, key: str = "record_id", data: str = "data", more: list[str] | None = None) -> DataFrame:
+    """id, n, digest and keys of rows with a k-mer, and further columns as they are."""
+    more = more or []
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(data).alias("data"), *more).where("id is not null and length(data) > 0")
+    return spread(rows).mapInArrow(describe, DESCRIBED + "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in more))
 
 
 def size_fits(a: str, b: str) -> F.Column:
@@ -44,19 +49,20 @@ def size_fits(a: str, b: str) -> F.Column:
     return (F.least(a, b) * DEN) >= (F.greatest(a, b) * NUM)
 
 
-def tallied(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b) of rows of left (a, n_a, key) and right (b, n_b, key) that share LEAST keys or more."""
-    return left.join(right, "key").where(size_fits("n_a", "n_b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= LEAST).select("a", "b")
+def tallied(left: DataFrame, right: DataFrame, condition: F.Column | None = None, by: list[str] | None = None) -> DataFrame:
+    """(a, b) of rows of left (a, n_a, key) and right (b, n_b, key) that fulfil the condition and share LEAST keys or more."""
+    met = left.join(right, by or ["key"]).where(size_fits("n_a", "n_b"))
+    return (met if condition is None else met.where(condition)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= LEAST).select("a", "b")
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """The pairs (a, b) at or above the threshold; left and right have (id, data)."""
+    """(a, b, same: whether the sets are equal) of the pairs (a, b) at or above the threshold; left and right have (id, data)."""
     full = (
         pairs.join(right.select(F.col("id").alias("b"), F.col("data").alias("data_b")), "b")
         .join(left.select(F.col("id").alias("a"), F.col("data").alias("data_a")), "a")
         .select("a", "b", "data_a", "data_b")
     )
-    return full.mapInArrow(verify, "a bigint, b bigint")
+    return full.mapInArrow(verify, "a bigint, b bigint, same boolean")
 
 
 def class_pairs(df: DataFrame, key: str = "record_id", data: str = "data") -> tuple[DataFrame, DataFrame]:
@@ -66,15 +72,15 @@ def class_pairs(df: DataFrame, key: str = "record_id", data: str = "data") -> tu
     members = cut(full.select("id", "digest").distinct().join(reps, "digest").select("id", "rep"))
     index = full.join(members.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", F.explode("keys").alias("key"))
     # most keys are of one class only: they are dropped in one pass over the sorted index, before it is joined to itself
-    index = cut(index.withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("lists > 1").drop("lists"))
-    left = index.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "key")
-    right = index.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "key")
-    found = left.join(right, "key").where(F.col("a") < F.col("b")).where(size_fits("n_a", "n_b"))
-    tally = cut(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= LEAST).select("a", "b"))
+    index = index.withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("lists > 1")
+    index = cut(index.select("id", "n", "key", F.ceil(F.col("lists") / HOT).cast("int").alias("parts")))
+    left = index.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    right = index.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    tally = cut(tallied(left, right, F.col("a") < F.col("b"), ["key", "part"]))
     source = df.select(F.col(key).cast("bigint").alias("id"), F.col(data).alias("data")).where("id is not null")
     needed = tally.select(F.col("a").alias("id")).unionByName(tally.select(F.col("b").alias("id"))).distinct()
     source = source.join(needed, "id", "left_semi").dropDuplicates(["id"])
-    return members, cut(verified(tally, source, source))
+    return members, cut(verified(tally, source, source).select("a", "b"))
 
 
 def near_duplicate_pairs(df: DataFrame, key: str = "record_id", data: str = "data") -> DataFrame:

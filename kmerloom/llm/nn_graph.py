@@ -3,11 +3,13 @@
 Method. Rows with equal vectors form one node. A forest of random hyperplane trees, fitted on a bounded sample and
 applied to all nodes, gives each node its first neighbours: each leaf is compared with itself in one task. Rounds of
 neighbour descent follow: nodes that are neighbours (either way) of the same node are compared with each other and
-better neighbours are kept, until a round brings few. A round is a Spark join of neighbour lists with vectors. It is
+better neighbours are kept, until a round brings few (ENOUGH), however many rounds that takes. A round is a Spark join of neighbour lists with vectors. It is
 done in blocks of nearby nodes, so that a vector which many nodes of a block refer to is sent to the block once.
 Queries walk the graph greedily from their own node: the best nodes seen so far are expanded until none of them is new.
 
-Memory of a task is bounded by the leaf and block sizes, whatever the table's; larger leaves are halved in the task.
+Memory of a task is bounded by the leaf and block sizes, whatever the table's: where the trees have no more leaves than
+they may be fitted with, leaves are cut into slices by rank along a direction, until a slice is about as large as a leaf
+of a smaller table. Leaves that are larger by chance are halved in the task.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from kmerloom.session import cut, small_side
 NEIGHBOURS = 16
 TREES = 4
 LEAF = 1000
-#: The trees have at most 2 ** MAX_DEPTH leaves and are fitted on about SAMPLE_A_LEAF vectors a leaf, MAX_SAMPLE in all.
+#: Trees are fitted with at most 2 ** MAX_DEPTH leaves (their hyperplanes are broadcast) on about SAMPLE_A_LEAF vectors a
+#: leaf, MAX_SAMPLE in all; what a larger table needs beyond is cut by rank.
 MAX_DEPTH, SAMPLE_A_LEAF, MAX_SAMPLE = 14, 48, 1 << 19
 #: Nodes of a block of neighbour descent.
 BLOCK = 4000
-ROUNDS, ENOUGH = 3, 0.005
+ENOUGH = 0.005
 BEAM = 64
 
 LIST = "array<struct<d: double, v: bigint>>"
@@ -101,10 +104,10 @@ class Forest:
                 parts[2 * node + 1], parts[2 * node + 2] = own[p < cuts[t, node]], own[p >= cuts[t, node]]
         return cls(depth, directions, cuts)
 
-    def leaves(self, x: np.ndarray) -> np.ndarray:
+    def leaves(self, x: np.ndarray, trees: int) -> np.ndarray:
         """(trees, rows) leaf numbers; numbers with a common prefix are leaves of a common subtree."""
-        out = np.empty((len(self.directions), len(x)), np.int64)
-        for t in range(len(self.directions)):
+        out = np.empty((trees, len(x)), np.int64)
+        for t in range(trees):
             node = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
                 right = np.einsum("ij,ij->i", x, self.directions[t][node]) >= self.cuts[t][node]
@@ -122,19 +125,28 @@ def exact(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(out, 12)
 
 
-def _assign(batches: Iterator[pa.RecordBatch], forest: Forest, length: int) -> Iterator[pa.RecordBatch]:
+def _assign(batches: Iterator[pa.RecordBatch], forest: Forest, length: int, trees: int) -> Iterator[pa.RecordBatch]:
+    """(g: tree and leaf, p: place along the tree's direction for slices, id, x), a row for each of the first `trees` trees."""
+    along = np.random.default_rng(length).standard_normal((trees, length))
     for b in batches:
         x = matrix(b.column(1), np.float64, length).astype(np.float32)
-        leaves = forest.leaves(x)
+        leaves = forest.leaves(x, trees)
         packed = vectors_of(x)
-        for t in range(len(leaves)):
-            yield pa.RecordBatch.from_arrays([pa.array((t << forest.depth) + leaves[t], pa.int64()), b.column(0), packed], ["g", "id", "x"])
+        for t in range(trees):
+            yield pa.RecordBatch.from_arrays([pa.array((t << forest.depth) + leaves[t], pa.int64()), pa.array(x @ along[t]), b.column(0), packed], ["g", "p", "id", "x"])
 
 
-def _home(batches: Iterator[pa.RecordBatch], forest: Forest, length: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x = matrix(b.column(1), np.float64, length).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forest.leaves(x)[0], pa.int64()), vectors_of(x)], ["id", "home", "x"])
+_ASSIGNED = "g bigint, p double, id bigint, x binary"
+
+
+def sliced(leaves: DataFrame, bits: int) -> DataFrame:
+    """Leaves cut into 2 ** bits equal slices by rank along their direction; numbers keep the leaf as their prefix.
+
+    Ranks are made by a window, which sorts and spills, so a leaf need not fit in a task.
+    """
+    if not bits:
+        return leaves
+    return leaves.withColumn("g", F.shiftleft("g", bits) + F.ntile(1 << bits).over(Window.partitionBy("g").orderBy("p", "id")) - 1)
 
 
 def _leaf(t: pa.Table, length: int, k: int, leaf: int) -> pa.Table:
@@ -232,28 +244,31 @@ class Graph:
     nodes: DataFrame
 
 
-def build_graph(rows: DataFrame, length: int, k: int = NEIGHBOURS, trees: int = TREES, rounds: int = ROUNDS) -> Graph:
+def build_graph(rows: DataFrame, length: int, k: int = NEIGHBOURS, trees: int = TREES) -> Graph:
     """The graph of usable_vectors(); empty and single-node tables give nodes with empty lists."""
     rows = cut(rows)
     classes = rows.groupBy("h").agg(F.min("name").alias("rep"), F.first("vec").alias("vec"))
     vectors = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     members = rows.select("name", "h").join(vectors.select("id", "h"), "h").select("name", "id")
     count = vectors.count()
-    depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(count, 1) / LEAF)))))
+    depth = int(max(0, np.ceil(np.log2(max(count, 1) / LEAF))))
+    depth, bits = min(MAX_DEPTH, depth), max(0, depth - MAX_DEPTH)
     # a sample by hash of about that many: a sorted limit would bring as many rows of every partition to the driver
     share = int((1 << 30) * min(1.0, min(SAMPLE_A_LEAF << depth, MAX_SAMPLE) / max(count, 1)))
     picked = vectors.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share).select("h", "vec").collect() if depth else []
     sample = np.array([np.frombuffer(r.vec, np.float64) for r in sorted(picked, key=lambda r: r.h)], np.float32).reshape(-1, length)
-    shared = rows.sparkSession.sparkContext.broadcast(Forest.fit(sample, depth, trees if depth else 1))
-    home = vectors.select("id", "vec").mapInArrow(lambda b: _home(b, shared.value, length), "id bigint, home bigint, x binary")
-    leaves = vectors.select("id", "vec").mapInArrow(lambda b: _assign(b, shared.value, length), "g bigint, id bigint, x binary")
-    first = leaves.groupBy("g").applyInArrow(lambda t: _leaf(t, length, k, LEAF), f"id bigint, nbrs {LIST}")
+    trees = trees if depth else 1
+    shared = rows.sparkSession.sparkContext.broadcast(Forest.fit(sample, depth, trees))
+    home = sliced(vectors.select("id", "vec").mapInArrow(lambda b: _assign(b, shared.value, length, 1), _ASSIGNED), bits).select("id", F.col("g").alias("home"), "x")
+    leaves = sliced(vectors.select("id", "vec").mapInArrow(lambda b: _assign(b, shared.value, length, trees), _ASSIGNED), bits)
+    first = leaves.select("g", "id", "x").groupBy("g").applyInArrow(lambda t: _leaf(t, length, k, LEAF), f"id bigint, nbrs {LIST}")
     merged = first.groupBy("id").agg(best(F.flatten(F.collect_list("nbrs")), k).alias("nbrs"))  # `trees` lists of k
     nodes = cut(home.join(merged, "id", "left").withColumn("nbrs", F.coalesce("nbrs", F.array().cast(LIST))))
-    for _ in range(rounds if depth else 0):
+    depth += bits
+    fresh = count * k if depth else 0
+    # lists only get better, so this ends
+    while fresh > ENOUGH * count * k:
         nodes, fresh = descend(nodes, length, k, count, depth)
-        if fresh < ENOUGH * count * k:
-            break
     return Graph(length, k, count, depth, vectors, members, nodes)
 
 
@@ -282,17 +297,26 @@ def descend(nodes: DataFrame, length: int, k: int, count: int, depth: int) -> tu
     return done.drop("fresh"), done.agg(F.sum("fresh")).first()[0] or 0
 
 
-def _distances(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _distances(batches: Iterator[pa.RecordBatch], length: int, digits: int | None = 9) -> Iterator[pa.RecordBatch]:
     for b in batches:
         q, x = matrix(b.column(2), np.float64, length), matrix(b.column(3), np.float64, length)
         d = np.sqrt(((q - x) ** 2).sum(1))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(d, 9), pa.float64())], ["q", "v", "d"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d if digits is None else np.round(d, digits), pa.float64())], ["q", "v", "d"])
+
+
+def measured(g: Graph, pairs: DataFrame) -> DataFrame:
+    """(a, b, d) of pairs of node ids, with the distance of their vectors in double precision."""
+    near, length = small_side(pairs, pairs.count(), 16), g.length
+    full = near.join(g.vectors.select(F.col("id").alias("a"), F.col("vec").alias("x")), "a")
+    full = full.join(g.vectors.select(F.col("id").alias("b"), F.col("vec").alias("y")), "b").select("a", "b", "x", "y")
+    return full.mapInArrow(lambda b: _distances(b, length, None), "a bigint, b bigint, d double")
 
 
-def greedy_search(g: Graph, queries: DataFrame, beam: int = BEAM, hops: int = 12) -> DataFrame:
+def greedy_search(g: Graph, queries: DataFrame, beam: int = BEAM) -> DataFrame:
     """(q, v, d) of the up to `beam` nearest nodes found for each query node q, itself with 0 among them.
 
-    queries has one column q of node ids. In each hop every node of a query's beam that was not yet expanded is.
+    queries has one column q of node ids. In each hop every node of a query's beam that was not yet expanded is, until
+    there is none; a node is expanded once, so this ends.
     """
     number, length = queries.count(), g.length
     start = queries.select("q", F.col("q").alias("v")).withColumn("d", F.lit(0.0)).withColumn("open", F.lit(True))
@@ -301,7 +325,7 @@ def greedy_search(g: Graph, queries: DataFrame, beam: int = BEAM, hops: int = 12
     # links are walked both ways: a node that is in nobody's list is reached from its own
     out = g.nodes.select("id", F.explode(F.transform("nbrs", lambda e: e.v)).alias("w"))
     links = cut(out.select(F.col("id").alias("v"), F.col("w").alias("next")).unionByName(out.select(F.col("w").alias("v"), F.col("id").alias("next"))))
-    for _ in range(hops):
+    while True:
         frontier = seen.where("open")
         size = frontier.count()
         if not size:

@@ -88,6 +88,32 @@ def test_links_that_the_graph_lacks_are_found(data, graph):
     assert {n: min(g) for g in groups.values() if len(g) >= 5 for n in g} == chains(data[0], data[1], 0.08, 5)
 
 
+@pytest.mark.parametrize("by", [0.0, 2e-9, -2e-9])
+def test_reach_is_told_in_double_precision(spark, by):
+    """Two groups of copies that only a distance of reach, more or less, would make a cluster."""
+    a = np.full(16, 1 / 16)
+    step = np.zeros(16)
+    step[3], step[9] = 1, -1
+    b = a + step * (0.08 + by) / np.sqrt(2)
+    rows = [(f"{n}{i}", v.tolist(), "x", 0.0) for n, v in (("a", a), ("b", b)) for i in range(3)]
+    g = nn_graph.build_graph(nn_graph.usable_vectors(spark.createDataFrame(rows, "seqid string, kfreqs array<double>, source string, delta_jsd double"), 16), 16)
+    joined = bool(np.sqrt(((a - b) ** 2).sum()) <= 0.08)
+    assert len(clusters.cluster_of_names(g).collect()) == (6 if joined else 0)
+    labels = g.nodes.select("id", F.col("id").alias("comp"))
+    assert bool(clusters.missing_links(g, labels).count()) == joined
+
+
+def test_leaves_beyond_what_trees_are_fitted_with(data, small_leaves, monkeypatch):
+    """Slices by rank take the place of deeper trees."""
+    monkeypatch.setattr(nn_graph, "MAX_DEPTH", 1)
+    g = nn_graph.build_graph(nn_graph.usable_vectors(data[2], 16), 16)
+    assert g.depth >= 3 and g.nodes.select("home").distinct().count() == 1 << g.depth
+    sizes = [r["count"] for r in g.nodes.groupBy("home").count().collect()]
+    assert max(sizes) <= 2 * nn_graph.LEAF
+    got = {r.name: r.cluster_key for r in clusters.cluster_of_names(g).collect()}
+    assert got == chains(data[0], data[1], 0.08, 5)
+
+
 def test_descriptions(data, graph):
     got = {r.cluster_key: r for r in clusters.descriptions(graph).collect()}
     truth = chains(data[0], data[1], 0.08, 5)
