@@ -228,6 +228,22 @@ def test_varied(spark, data):
     assert abs(by[1][0].delta_jsd - (total - (h(rest.mean(0)) - h(rest).mean()))) < 1e-9
 
 
+def test_varied_is_the_same_however_rows_are_stored(spark, data, monkeypatch):
+    df, asked = data[2], [(1, 5, None), (2, 40, "a"), (3, 12, "a")]
+    monkeypatch.setattr(varied, "PART", 64)
+    got = [sorted((r.request_id, r.seqid) for r in varied.choose_varied(x, requests(spark, asked), 16).collect()) for x in (df.coalesce(1), df.repartition(3, "seqid"), df.orderBy(F.desc("seqid")).repartition(17))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 57
+
+
+def test_varied_is_nearly_as_divergent_as_the_fold(spark, data):
+    from kmerloom.operators.selection import fold
+
+    x = np.unique(data[1], axis=0)
+    for n in (5, 20):
+        best = fold(iter(enumerate(np.random.default_rng(1).permutation(x))), n, n, "stdev").total
+        assert varied.choose_varied(data[2], requests(spark, [(1, n, None)]), 16).first().total_jsd > 0.85 * best
+
+
 def test_varied_edges(spark, data):
     _, _, df = data
     assert varied.choose_varied(df, requests(spark, []), 16).collect() == []
@@ -239,17 +255,17 @@ def test_quotas_are_a_cheapest_flow():
 
     capacity = {(0, 0): 5, (0, 1): 3, (1, 0): 1, (2, 1): 2}
 
-    def cost(room, share):
-        part, out = max(1, share // 4), []
-        return [0] * share + [1 + i // part for i in range(max(0, room - share))] if room else out
+    def cost(room, share, wanted):
+        part, out = max(1, (share or wanted) // 4), []
+        return [0] * min(room, share) + [1 + i // part for i in range(max(0, room - share))] if room else out
 
     def price(q, wanted):
         total = 0
         for at, names in ((0, {0, 1, 2}), (1, {0, 1})):
-            share = -(-wanted // len(names))
             for name in names:
+                share = wanted * name if at else -(-wanted // len(names))
                 used, room = sum(v for k, v in q.items() if k[at] == name), min(wanted, sum(v for k, v in capacity.items() if k[at] == name))
-                total += sum(cost(room, min(room, share))[:used])
+                total += sum(cost(room, share, wanted)[:used])
         return total
 
     for wanted in range(1, 12):
