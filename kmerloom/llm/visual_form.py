@@ -7,9 +7,14 @@ spliced into the unchanged text.
 
 The form keeps every visible difference: case, accents, digits, words, punctuation, line breaks and the number
 of spaces. It unifies composed and decomposed accents, full-width, half-width and normal characters, all spaces
-of category Zs, look-alike letters of Greek and Cyrillic, and drops invisible characters. A zero-width joiner
-between two pictographs, and a joiner or non-joiner between letters of Arabic or Indic scripts, changes what is
-seen and stays.
+of category Zs, look-alike letters, and drops invisible characters (the property Default_Ignorable_Code_Point). A
+zero-width joiner between two pictographs, a variation selector or tag after one, and a joiner or non-joiner between
+letters of Arabic or Indic scripts change what is seen and stay.
+
+Look-alikes are the letters whose outlines are those of a Latin letter in a widespread public font family with wide
+coverage, and some that public lists of confusable characters name although their outlines differ a little: Greek small
+letters, Cherokee, dotless i and script g. Left out: letters that only resemble a digit or a pair of letters, and
+styled letters (bold, script, enclosed), which look different.
 
 Defined cases: null gives null; empty gives empty; a text of any length is processed whole; repeated rows give
 equal forms; further columns of the table are not touched by the column function.
@@ -17,6 +22,7 @@ equal forms; further columns of the table are not touched by the column function
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -32,14 +38,29 @@ from kmerloom.session import cut
 # Letters drawn like a Latin letter, with that letter.
 LOOK_ALIKES = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ԝ": "W", "Х": "X", "Ү": "Y",
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
+    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ӏ": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ԝ": "W", "Х": "X", "Ү": "Y",
+    "α": "a", "ι": "i", "κ": "k", "ο": "o", "ρ": "p", "υ": "u", "ν": "v", "ϲ": "c", "ϳ": "j",
+    "Α": "A", "Β": "B", "Ε": "E", "Ϝ": "F", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
+    "հ": "h", "ո": "n", "ս": "u", "օ": "o", "Ս": "U", "Օ": "O",
+    "ı": "i", "ɡ": "g", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    "ᐯ": "V", "ᑌ": "U", "ᒪ": "L", "ᕼ": "H", "ᗞ": "D", "ⴸ": "V", "ⴹ": "E", "ⵏ": "I", "ⵝ": "X",
+    "\u2010": "-", "\u2011": "-",
 }
-# Characters that leave no mark.
-INVISIBLE = "­͏؜᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
+# Ranges of code points that leave no mark.
+IGNORABLE = (
+    (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F),
+    (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
+)
+INVISIBLE = frozenset(chr(c) for a, b in IGNORABLE for c in range(a, b + 1))
 JOINING = r"[\p{Arabic}\p{Syriac}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}]"
-KEPT_JOINER = regex.compile(rf"(?<=\p{{Extended_Pictographic}}️?)‍(?=\p{{Extended_Pictographic}})|(?<={JOINING}\p{{M}}*)[‌‍](?={JOINING})")
+TAGS = "[\U000e0020-\U000e007f]"
+KEPT_JOINER = regex.compile(
+    rf"(?<=\p{{Extended_Pictographic}}\ufe0f?)\u200d(?=\p{{Extended_Pictographic}})|(?<=\p{{Extended_Pictographic}})[\ufe0e\ufe0f]"
+    rf"|(?<=\p{{Extended_Pictographic}}){TAGS}+|(?<={JOINING}\p{{M}}*)[\u200c\u200d](?={JOINING})"
+)
+MAYBE_KEPT = re.compile(f"[\u200c\u200d\ufe0e\ufe0f]|{TAGS}")
 
 
 def _folded(ch: str) -> str:
@@ -82,7 +103,7 @@ def _tables() -> tuple[np.ndarray, dict[int, str], np.ndarray]:
                 fold[c] = f
                 folded[c] = ord(f)
     for ch in INVISIBLE:
-        fold[ord(ch)], folded[ord(ch)] = "", DROPPED
+        fold[ord(ch)], folded[ord(ch)], unstable[ord(ch)] = "", DROPPED, True
     return unstable, fold, folded
 
 
@@ -100,7 +121,7 @@ def _fold(text: str) -> str:
 
 def _segment(text: str) -> str:
     parts, at = [], 0
-    if "‍" in text or "‌" in text:
+    if MAYBE_KEPT.search(text):
         for m in KEPT_JOINER.finditer(text):
             parts += [_fold(unicodedata.normalize("NFD", text[at : m.start()])), m.group()]
             at = m.end()
@@ -134,7 +155,7 @@ def _segments(text: str, near: int) -> list[tuple[int, int]]:
 
 
 def _has_kept_joiner(text: str) -> bool:
-    return ("‍" in text or "‌" in text) and KEPT_JOINER.search(text) is not None
+    return MAYBE_KEPT.search(text) is not None and KEPT_JOINER.search(text) is not None
 
 
 def visual_form(text: str | None) -> str | None:
@@ -226,7 +247,10 @@ def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = cut(rows.join(mixed, "f", "left_semi"))
     classes = rows.select("f", "t").distinct()
     a, b = (classes.select("f", F.col("t").alias(f"t_{x}")) for x in "ab")
-    pairs = a.join(b, "f").where("t_a < t_b").select("t_a", "t_b")
+    # the variants of one form are split over salts on one side, so that no task pairs all of them
+    salted = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
+    a, b = a.withColumn("salt", F.pmod(F.xxhash64("t_a"), F.lit(SALTS))), b.withColumn("salt", salted)
+    pairs = a.join(b, ["f", "salt"]).where("t_a < t_b").select("t_a", "t_b")
     left = rows.select(F.col("t").alias("t_a"), F.col("id").alias("x"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
     right = rows.select(F.col("t").alias("t_b"), F.col("id").alias("y"))
     return (

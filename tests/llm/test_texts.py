@@ -11,7 +11,9 @@ from kmerloom.llm import bpe, leaks
 from kmerloom.llm import visual_form as vf
 
 SAME = [("é", "é"), ("ё", "ë"), ("Ｆｕｌｌ　１", "Full 1"), ("a​b", "ab"), ("x y z", "x y z"), ("раураӏ", "paypal"), ("ＥΧＡ", "EXA"), ("ế", "ế"), ("가", "가"), ("ｶﾞ", "ガ")]
+SAME += [("ραικ", "paik"), ("օ", "o"), ("Ꭺ", "A"), ("ɡı", "gi"), ("ꓐꓲ", "BI"), ("a\u2011b", "a-b"), ("a\ufe0fb", "ab"), ("\u202aa\u202c\u2066b\u2069", "ab"), ("a\u3164\U000e0041", "a"), ("x\U0001bca0", "x")]
 OTHER = [("A", "a"), ("e", "é"), ("a b", "a  b"), ("a\nb", "a b"), ("x²", "x2"), ("½", "1/2"), ("“a”", '"a"'), ("👩‍💻", "👩💻"), ("З", "3"), ("…", "...")]
+OTHER += [("❤\ufe0f", "❤"), ("🏴\U000e0067\U000e0062\U000e007f", "🏴"), ("–", "-"), ("𝐚", "a"), ("ⓐ", "a")]
 
 
 @pytest.mark.parametrize(("a", "b"), SAME)
