@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.operators import cluster, distance, jsd, kmers, selection
+from kmerloom.session import cut
 from kmerloom.sources.store import seeded_limit, seeded_order, unique_rows
 
 #: Dense vectors of a selection have 4 ** k elements.
 MAX_K = 8
+#: Without a number of chunks there is one for each so many records.
+CHUNK = 100_000
+#: Blocks into which a store is parted for its pairs.
+BLOCKS = 8
 
 
 def _ordered(store: DataFrame, k: int, seed: int, limit: int | None) -> DataFrame:
@@ -28,29 +33,34 @@ def _checked(store: DataFrame, least: int) -> int:
     return count
 
 
-def select_nmost(store: DataFrame, n: int = 10, k: int = 6, include: list[str] | None = None, seed: int = 0, limit: int | None = None, chunks: int = 1, unique: bool = True) -> DataFrame:
-    """seqid and delta_jsd of the n most divergent records, and the records to include (null delta_jsd)."""
+def select_nmost(store: DataFrame, n: int = 10, k: int = 6, include: list[str] | None = None, seed: int = 0, limit: int | None = None, chunks: int | None = None, unique: bool = True) -> DataFrame:
+    """seqid and delta_jsd of the n most divergent records and the records to include.
+
+    With records to include, contributions are those in the set of all of them.
+    """
     rows = unique_rows(store) if unique else store
-    _checked(rows, n)
-    chosen = selection.select_nmost(_ordered(rows, k, seed, limit), "seqid", ["place", "seqid"], 4**k, n, chunks)
-    return _included(chosen, rows, include)
+    count = _checked(rows, n)
+    chosen = selection.select_nmost(_ordered(rows, k, seed, limit), "seqid", ["place", "seqid"], 4**k, n, chunks or -(-count // CHUNK))
+    return _included(chosen, store, k, include)
 
 
-def select_max(store: DataFrame, least: int = 5, most: int | None = 30, stat: str = "stdev", k: int = 6, include: list[str] | None = None, seed: int = 0, limit: int | None = None, chunks: int = 1, unique: bool = True) -> DataFrame:
-    """seqid and delta_jsd of between least and most divergent records, and the records to include."""
+def select_max(store: DataFrame, least: int = 5, most: int | None = 30, stat: str = "stdev", k: int = 6, include: list[str] | None = None, seed: int = 0, limit: int | None = None, chunks: int | None = None, unique: bool = True) -> DataFrame:
+    """seqid and delta_jsd of between least and most divergent records and the records to include."""
     rows = unique_rows(store) if unique else store
     count = _checked(rows, least)
     if most is not None and most < least:
         raise ValueError("the greatest size is below the least")
     most = count if most is None else min(most, count)
-    chosen = selection.select_max(_ordered(rows, k, seed, limit), "seqid", ["place", "seqid"], 4**k, least, most, stat, chunks)
-    return _included(chosen, rows, include)
+    chosen = selection.select_max(_ordered(rows, k, seed, limit), "seqid", ["place", "seqid"], 4**k, least, most, stat, chunks or -(-count // CHUNK))
+    return _included(chosen, store, k, include)
 
 
-def _included(chosen: DataFrame, rows: DataFrame, include: list[str] | None) -> DataFrame:
+def _included(chosen: DataFrame, store: DataFrame, k: int, include: list[str] | None) -> DataFrame:
     if not include:
         return chosen.select("seqid", "delta_jsd")
-    return selection.with_included(chosen, rows, "seqid", include).join(chosen.select("seqid", "delta_jsd"), "seqid", "left")
+    chosen = cut(chosen)
+    few = store.join(F.broadcast(chosen.select("seqid").unionByName(store.where(F.col("seqid").isin(include)).select("seqid")).distinct()), "seqid", "left_semi")
+    return selection.with_included(chosen, _ordered(few, k, 0, None), "seqid", include, 4**k).select("seqid", "delta_jsd")
 
 
 def long_members(store: DataFrame, k: int) -> DataFrame:
@@ -59,11 +69,14 @@ def long_members(store: DataFrame, k: int) -> DataFrame:
     return freqs.select(F.lit(1).alias("one"), F.col("seqid").alias("member"), F.col("seqid").alias("name"), "kmer", "freq")
 
 
-def delta_jsd(reference: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
+def delta_jsd(reference: DataFrame, queries: DataFrame, k: int = 6, strict: bool = False) -> DataFrame:
     """seqid, delta_jsd: divergence of the reference set after its lowest member is replaced by the query.
 
-    0 for names of the set; NaN for queries without valid k-mers. A reference record without symbols is an error.
+    0 for names of the set; NaN for queries without valid k-mers, or an error if strict. A reference record without
+    symbols is an error.
     """
+    if strict and (bad := kmers.kmer_vectors(queries, k, "seqid").where("total = 0").select("seqid").first()):
+        raise ValueError(f"no valid {k}-mers in {bad[0]!r}")
     if reference.where(F.coalesce(F.length("data"), F.lit(0)) == 0).limit(1).count():
         raise ValueError("a reference record has no symbols")
     done = jsd.replaced_divergence(long_members(reference, k), ["one"], long_members(queries, k)).select(F.col("member").alias("seqid"), F.col("replaced_jsd"))
@@ -75,9 +88,8 @@ def pairwise_distance(store: DataFrame, mode: str = "mash", k: int = 12, sketch_
     _distance_options(mode, sketch_size, canonical, moltype)
     if mode == "mash":
         s = kmers.sketches(store, k, sketch_size, "seqid", canonical=canonical).select(F.lit(1).alias("one"), F.col("seqid").alias("member"), "sketch")
-        return distance.mash_distances(s, ["one"], k, sketch_size).drop("one")
-    v = kmers.dense(kmers.kmer_vectors(store, k, "seqid"), 4**k, "seqid").select(F.lit(1).alias("one"), F.col("seqid").alias("member"), "kfreqs")
-    return distance.euclidean_distances(v, ["one"]).drop("one")
+        return distance.mash_distances(s, ["one"], k, sketch_size, blocks=BLOCKS).drop("one")
+    return distance.sparse_euclidean_distances(kmers.kmer_vectors(store, k, "seqid").withColumnRenamed("seqid", "member"), BLOCKS)
 
 
 def _distance_options(mode: str, sketch_size: int | None, canonical: bool, moltype: str) -> None:

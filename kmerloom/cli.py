@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
             v.add_argument("--canonical", action="store_true")
             continue
         v.add_argument("--include")
-        v.add_argument("--chunks", type=int, default=1)
+        v.add_argument("--chunks", type=int)
         if name == "nmost":
             v.add_argument("-n", type=int, default=10)
         else:

@@ -32,17 +32,19 @@ def to_dna(text: Column) -> Column:
     return F.translate(text, "U", "T")
 
 
-def codes_to_text(data: Column, alphabet: str = DNA, unknown: str = UNKNOWN) -> Column:
-    """Encoded bytes as letters; every code beyond the alphabet as `unknown`."""
-    raw = F.decode(data, "ISO-8859-1")
+def codes_to_text(data: Column, alphabet: str = DNA, unknown: str = UNKNOWN, max_length: int | None = None) -> Column:
+    """Encoded bytes as letters, at most max_length of them; every code beyond the alphabet as `unknown`."""
+    raw = F.decode(data if max_length is None else F.substring(data, 1, max_length), "ISO-8859-1")
     known = "".join(map(chr, range(len(alphabet))))
     # bytes below 32 that are no letters of the alphabet, then all others
     low = "".join(map(chr, range(len(alphabet), 32)))
     return F.regexp_replace(F.translate(raw, known + low, alphabet + unknown * len(low)), f"[^{alphabet}{unknown}]", unknown)
 
 
-def text_to_codes(text: Column, alphabet: str = DNA, gap: int = 4, other: int = 5) -> Column:
-    """Letters as bytes: the alphabet from 0, the gap '-' and everything else as codes that are not canonical."""
+def text_to_codes(text: Column, alphabet: str = DNA, gap: int = 4, other: int = 5, max_length: int | None = None) -> Column:
+    """Letters, at most max_length of them, as bytes: the alphabet from 0, the gap '-' and all else as codes that are not canonical."""
+    if max_length is not None:
+        text = F.substring(text, 1, max_length)
     if len(alphabet) > 10 or max(gap, other) > 9:
         raise ValueError("codes of text are one digit")
     # by hexadecimal pairs: a translation to the zero byte would delete the symbol

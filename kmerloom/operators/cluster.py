@@ -15,22 +15,27 @@ def average_linkage(d: np.ndarray) -> list[tuple[int, int, float, int]]:
     Of equal distances (to 12 decimals) the pair with the least numbers is merged first; the lesser number is left.
     """
     n = len(d)
-    work = np.full((2 * n - 1, 2 * n - 1), np.inf)
-    work[:n, :n] = np.round(d, 12)
+    work = np.round(np.asarray(d, float), 12)
     np.fill_diagonal(work, np.inf)
-    size, live, merges = np.ones(2 * n - 1), np.zeros(2 * n - 1, bool), []
-    live[:n] = True
+    # a merge takes the place of its left part; number says which leaf or merge a place holds, least its nearest distance
+    number, size, live, merges = np.arange(n), np.ones(n), np.ones(n, bool), []
+    least = work.min(1, initial=np.inf)
     for new in range(n, 2 * n - 1):
-        at = np.flatnonzero(live)
-        sub = work[np.ix_(at, at)]
-        i, j = divmod(int(sub.argmin()), len(at))
-        a, b = sorted((int(at[i]), int(at[j])))
-        rest = at[(at != a) & (at != b)]
-        mean = (work[a, rest] * size[a] + work[b, rest] * size[b]) / (size[a] + size[b])
-        merges.append((a, b, float(work[a, b]), int(size[a] + size[b])))
-        size[new] = size[a] + size[b]
-        live[[a, b]], live[new] = False, True
-        work[new, rest] = work[rest, new] = np.round(mean, 12)
+        at = np.flatnonzero(live & (least == least[live].min()))
+        a = at[number[at].argmin()]
+        at = np.flatnonzero(live & (work[a] == least[a]) & (np.arange(n) != a))
+        b = at[number[at].argmin()]
+        height, whole = work[a, b], size[a] + size[b]
+        merges.append((int(number[a]), int(number[b]), float(height), int(whole)))
+        live[b] = False
+        rest = np.flatnonzero(live & (np.arange(n) != a))
+        stale = rest[(work[rest, a] == least[rest]) | (work[rest, b] == least[rest])]
+        work[a, rest] = work[rest, a] = np.round((work[a, rest] * size[a] + work[b, rest] * size[b]) / whole, 12)
+        work[b], work[:, b] = np.inf, np.inf
+        number[a], size[a] = new, whole
+        least[rest] = np.minimum(least[rest], work[rest, a])
+        least[stale] = work[stale].min(1, initial=np.inf)
+        least[a], least[b] = work[a].min(initial=np.inf), np.inf
     return merges
 
 
@@ -49,7 +54,8 @@ def _matrix(t: pa.Table) -> tuple[list, np.ndarray]:
     if len(names) > MAX_LEAVES:
         raise ValueError(f"a tree of more than {MAX_LEAVES} leaves; make sets smaller")
     at = {x: i for i, x in enumerate(names)}
-    d = np.zeros((len(names), len(names)))
+    # a pair without a distance is as far apart as can be
+    d = np.full((len(names), len(names)), np.inf)
     for x, y, z in zip(a, b, t.column("distance").to_pylist()):
         d[at[x], at[y]] = d[at[y], at[x]] = np.inf if z is None else z
     return names, d

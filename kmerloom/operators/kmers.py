@@ -19,6 +19,10 @@ from kmerloom.operators.jsd import g
 from kmerloom.session import spread
 
 
+#: Elements of dense vectors that are made at once.
+DENSE = 1 << 22
+
+
 def _reverse(code: np.ndarray, k: int) -> np.ndarray:
     """Numbers of the reverse complements."""
     out, rest = np.zeros_like(code), code.copy()
@@ -74,7 +78,8 @@ def dense(vectors: DataFrame, size: int, key: str = "record_id", column: str = "
 
 
 def _dense(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    rows = max(1, DENSE // size)
+    for b in (x.slice(i, rows) for x in batches for i in range(0, len(x), rows)):
         sizes = b.column(2).value_lengths().to_numpy()
         x = np.zeros((len(b), size))
         row = np.repeat(np.arange(len(b)), sizes)

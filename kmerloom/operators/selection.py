@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.operators.ranking import chunk_of, global_rank
+from kmerloom.session import cut
 
 EPS = 2.220446049250313e-16
 
@@ -101,8 +102,8 @@ def fold(rows: Iterator[tuple[object, np.ndarray]], least: int, most: int | None
     return state
 
 
-def _fold_partition(batches: Iterator[pa.RecordBatch], least: int, most: int | None, stat: str, size: int) -> Iterator[pa.RecordBatch]:
-    """One chunk after another of a partition sorted by (chunk, ord)."""
+def _fold_partition(batches: Iterator[pa.RecordBatch], least: int, most: int | None, stat: str, size: int, final: bool = False) -> Iterator[pa.RecordBatch]:
+    """One chunk after another of a partition sorted by (chunk, ord); fewer than `least` members of a final set are an error."""
 
     def rows() -> Iterator[tuple[int, object, np.ndarray]]:
         for b in batches:
@@ -127,6 +128,8 @@ def _fold_partition(batches: Iterator[pa.RecordBatch], least: int, most: int | N
 
         state = fold(own(), least, most, stat)
         head = nxt[0] if nxt else None
+        if final and (state is None or len(state.ids) < least):
+            raise ValueError(f"the chunks have fewer than {least} members in all")
         if state is not None:
             n = len(state.ids)
             yield pa.RecordBatch.from_arrays(
@@ -161,7 +164,7 @@ def select(vectors: DataFrame, name: str, order: list, size: int, least: int, mo
     if chunks > 1:
         again = done.select("chunk", "ord", "name", "v").repartition(1).sortWithinPartitions("chunk", "ord")
         again = again.select(F.lit(1).cast("bigint").alias("chunk"), "ord", "name", "v")
-        done = again.mapInArrow(lambda b: _fold_partition(b, least, most, stat, size), schema)
+        done = again.mapInArrow(lambda b: _fold_partition(b, least, most, stat, size, True), schema)
     return done.select(F.col("name").alias(name), "delta_jsd", "total_jsd")
 
 
@@ -175,9 +178,18 @@ def select_max(vectors: DataFrame, name: str, order: list, size: int, least: int
     return select(vectors, name, order, size, least, most, stat, chunks, vector)
 
 
-def with_included(selected: DataFrame, rows: DataFrame, name: str, include: list) -> DataFrame:
-    """Names selected or asked for; names to include that the rows do not have are an error."""
-    missing = set(include) - {r[0] for r in rows.where(F.col(name).isin(include)).select(name).distinct().collect()}
+def with_included(selected: DataFrame, vectors: DataFrame, name: str, include: list, size: int, vector: str = "kfreqs") -> DataFrame:
+    """name, delta_jsd and total_jsd of the set of the names selected and those asked for.
+
+    Contributions are those in the whole set, not in the selected one; names without valid k-mers have none (null).
+    Names to include that the rows do not have are an error.
+    """
+    asked = vectors.where(F.col(name).isin(include)).select(name).distinct()
+    missing = set(include) - {r[0] for r in asked.collect()}
     if missing:
         raise ValueError(f"not among the records: {sorted(missing)}")
-    return selected.select(name).unionByName(rows.where(F.col(name).isin(include)).select(name)).distinct()
+    # a selection and a list of names: both are small
+    chosen = cut(selected.select(name).unionByName(asked).distinct())
+    n = chosen.count()
+    rows = vectors.join(F.broadcast(chosen), name, "left_semi")
+    return chosen.join(select(rows, name, [name], size, n, n, vector=vector), name, "left")

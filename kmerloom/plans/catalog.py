@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kmerloom import api
 from kmerloom.functions import alphabet, hashing
 from kmerloom.operators import cluster, distance, jsd, kmers, ranking, selection
 from kmerloom.plans.inputs import records, set_data, set_members, set_vectors, table, vectors
 from kmerloom.plans.oracle import ORACLE_SQL
-from kmerloom.session import spread
+from kmerloom.session import checkpoint_dir, spread
+from kmerloom.sources import files, store
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -213,9 +216,9 @@ def bottom_sketches(spark: SparkSession, d: str) -> DataFrame:
     return s.select("record_id", F.posexplode("sketch").alias("place", "hash"))
 
 
-def set_sketches(spark: SparkSession, d: str, canonical: bool = False) -> DataFrame:
+def set_sketches(spark: SparkSession, d: str, canonical: bool = False, k: int = SKETCH_K, size: int = SKETCH_SIZE) -> DataFrame:
     members = set_data(spark, d).withColumn("key", F.struct("set_id", "member"))
-    return kmers.sketches(members, SKETCH_K, SKETCH_SIZE, "key", canonical=canonical).select("key.set_id", "key.member", "sketch").where(F.size("sketch") > 0)
+    return kmers.sketches(members, k, size, "key", canonical=canonical).select("key.set_id", "key.member", "sketch").where(F.size("sketch") > 0)
 
 
 @query
@@ -234,6 +237,12 @@ def canonical_mash_distances(spark: SparkSession, d: str) -> DataFrame:
     return distance.mash_distances(set_sketches(spark, d, True), ["set_id"], SKETCH_K, SKETCH_SIZE).select("set_id", "member_a", "member_b", six("distance"))
 
 
+@query
+def default_mash_distances(spark: SparkSession, d: str) -> DataFrame:
+    """With the k and the sketch size that distances have by default."""
+    return distance.mash_distances(set_sketches(spark, d, k=12, size=3000), ["set_id"], 12, 3000).select("set_id", "member_a", "member_b", six("distance"))
+
+
 def ordered_vectors(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).withColumn("place", F.md5(F.concat(F.lit(SEED), "seqid")))
 
@@ -264,7 +273,89 @@ def nmost_with_included(spark: SparkSession, d: str) -> DataFrame:
     rows = ordered_vectors(spark, d)
     least = rows.agg(F.min("seqid")).first()[0]
     chosen = selection.select_nmost(rows, "seqid", ["place", "seqid"], 64, 10, chunks=8)
-    return selection.with_included(chosen, rows, "seqid", [least] if least else [])
+    return selection.with_included(chosen, rows, "seqid", [least] if least else [], 64).select("seqid", six("delta_jsd"), six("total_jsd"))
+
+
+def named_texts(spark: SparkSession, d: str) -> DataFrame:
+    """record_id, batch_id and letters of records with symbols."""
+    return table(spark, d, "seq_array").where("length(data) > 0").select("record_id", "batch_id", alphabet.codes_to_text(F.col("data")).alias("seq"))
+
+
+def scratch(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+
+
+@query
+def fasta_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as FASTA, lines of 60 symbols, and read again."""
+    path = scratch(spark)
+    lines = F.regexp_replace(F.lower("seq"), "(.{60})", "$1\n")
+    named_texts(spark, d).select(F.concat(F.lit(">"), F.col("record_id").cast("string"), F.lit(" a record\n"), lines)).write.text(path)
+    return files.read_fasta(spark, path).select("name", F.md5("seq").alias("seq"))
+
+
+@query
+def genbank_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records written in the GenBank format and read again."""
+    path = scratch(spark)
+    text = F.concat(F.lit("LOCUS       R"), F.col("record_id").cast("string"), F.lit(" DNA\nORIGIN\n        1 "), F.regexp_replace(F.lower("seq"), "(.{10})", "$1 "), F.lit("\n//"))
+    named_texts(spark, d).select(text).write.text(path)
+    return files.read_genbank(spark, path).select("name", F.md5("seq").alias("seq"))
+
+
+@query
+def whole_file_records(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each batch, whose records are joined by the barrier when it is read."""
+    path = scratch(spark)
+    rows = named_texts(spark, d).select("batch_id", "record_id", F.concat(F.lit(">"), F.col("record_id").cast("string"), F.lit("\n"), F.col("seq")).alias("value"))
+    rows.repartition(9, "batch_id").sortWithinPartitions("batch_id", "record_id").drop("record_id").write.partitionBy("batch_id").text(path)
+    return files.one_row_a_file(files.read_fasta(spark, f"{path}/*")).select(F.md5("seq").alias("seq"), F.length("seq").alias("n"))
+
+
+@query
+def last_named_records(spark: SparkSession, d: str) -> DataFrame:
+    """One file of records under their seqids, in order: of a name that comes again the last record counts."""
+    path = scratch(spark)
+    rows = table(spark, d, "seq_array").where("length(data) > 0 and seqid is not null").orderBy("record_id").coalesce(1)
+    rows.select(F.concat(F.lit(">"), F.col("seqid"), F.lit("\n"), alphabet.codes_to_text(F.col("data")))).write.text(path)
+    return files.last_of_name(files.read_fasta(spark, path)).select("name", F.md5("seq").alias("seq"))
+
+
+@query
+def stored_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Records encoded, put into a store, and read from it by name: digest of the content, and metadata."""
+    path = scratch(spark)
+    rows = table(spark, d, "seq_array").where("length(data) > 0 and seqid is not null").select(F.col("seqid").alias("name"), alphabet.codes_to_text(F.col("data")).alias("seq"))
+    store.put(store.encoded(rows, source="t"), path)
+    return store.get_store(spark, path).select("seqid", F.md5("data").alias("content"), F.col("metadata")["source"].alias("source"))
+
+
+@query
+def written_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The selection as it is read from the tab-separated file it was written to."""
+    path = scratch(spark)
+    files.write_selection(nmost(spark, d), path)
+    return spark.read.option("sep", "\t").option("header", True).schema("names string, delta_jsd double").csv(path)
+
+
+@query
+def written_trees(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark)
+    files.write_newick(euclidean_trees(spark, d), path)
+    return spark.read.text(path).withColumnRenamed("value", "newick")
+
+
+@query
+def probe_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of all pairs of the probes' records, by the public operation."""
+    probes = table(spark, d, "knn_probe").select("seqid").distinct()
+    first = table(spark, d, "seq_array").join(F.broadcast(probes), "seqid", "left_semi").groupBy("seqid").agg(F.min_by("data", "record_id").alias("data"))
+    return api.pairwise_distance(first, "euclidean", 3).select("member_a", "member_b", six("distance"))
+
+
+@query
+def degapped(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(alphabet.degap(F.col("text"))).alias("text"))
 
 
 @query

@@ -23,8 +23,9 @@ def _counts(k: int) -> str:
     return f"WITH {_windows(k)} SELECT record_id, {_number(k)} AS kmer, count(*) AS n FROM v GROUP BY 1, 2"
 
 
-_TEXT = """t AS (SELECT record_id, CASE WHEN data IS NULL THEN NULL WHEN octet_length(data) = 0 THEN '' ELSE
-array_to_string(list_transform(range(0, octet_length(data)), lambda i: CASE substr(hex(data), CAST(2 * i + 1 AS BIGINT), 2) WHEN '00' THEN 'T' WHEN '01' THEN 'C' WHEN '02' THEN 'A' WHEN '03' THEN 'G' ELSE 'N' END), '') END AS text FROM seq_array)"""
+_TEXT = """t AS (SELECT record_id, CASE WHEN n IS NULL THEN NULL WHEN n = 0 THEN '' ELSE
+array_to_string(list_transform(range(0, n), lambda i: CASE substr(h, CAST(2 * i + 1 AS BIGINT), 2) WHEN '00' THEN 'T' WHEN '01' THEN 'C' WHEN '02' THEN 'A' WHEN '03' THEN 'G' ELSE 'N' END), '') END AS text
+FROM (SELECT record_id, hex(data) AS h, octet_length(data) AS n FROM seq_array))"""
 
 _BACK = "translate(reverse(w), '0123', '2301')"
 
@@ -70,24 +71,96 @@ a AS (SELECT seqid, arg_min(record_id, record_id) AS r FROM seq_array WHERE seqi
 s AS (SELECT DISTINCT r AS record_id, hex(data) AS h, octet_length(data) AS n FROM a JOIN seq_array ON record_id = r WHERE seq_array.seqid IN (SELECT name FROM e) AND data IS NOT NULL)"""
 
 
-def _sketches(canonical: bool) -> str:
+def _sketches(canonical: bool, k: int = 6, size: int = 50) -> str:
     word = f"least(w, {_BACK})" if canonical else "w"
-    return f"""{_windows(6, _SET_DATA)},
+    return f"""{_windows(k, _SET_DATA)},
 vv AS (SELECT record_id, {word} AS w FROM v),
-{_hash(6, "vv")},
-k AS (SELECT record_id, list_sort(list(DISTINCT hash))[1:50] AS sketch FROM vv JOIN f USING (w) GROUP BY 1),
+{_hash(k, "vv")},
+k AS (SELECT record_id, list_sort(list(DISTINCT hash))[1:{size}] AS sketch FROM vv JOIN f USING (w) GROUP BY 1),
 m AS (SELECT set_id, CAST(member AS INTEGER) AS member, sketch FROM e JOIN a ON a.seqid = e.name JOIN k ON k.record_id = a.r),
 p AS (SELECT x.set_id, x.member AS member_a, y.member AS member_b, x.sketch AS sa, y.sketch AS sb FROM m x JOIN m y ON x.set_id = y.set_id AND x.member < y.member)"""
 
 
-_MASH = """,
-w1 AS (SELECT *, list_sort(list_distinct(list_concat(sa, sb)))[1:50] AS un FROM p),
-w2 AS (SELECT *, len(un) AS u, len(list_filter(un, lambda t: list_contains(sa, t) AND list_contains(sb, t))) AS i FROM w1)
-SELECT set_id, member_a, member_b, round(CASE WHEN i = u THEN 0.0 WHEN i = 0 THEN 1.0 ELSE least(1.0, -ln(2.0 * i / u / (1.0 + 1.0 * i / u)) / 6) END, 6) + 0.0 AS distance FROM w2"""
+def _mash(k: int = 6, size: int = 50) -> str:
+    """CTE dist from _sketches(): the rank of a common hash in the union is told by list positions."""
+    return f""",
+w1 AS (SELECT *, list_sort(list_distinct(list_concat(sa, sb)))[1:{size}] AS un FROM p),
+w2 AS (SELECT *, len(un) AS u, len(list_intersect(un, list_intersect(sa, sb))) AS i FROM w1),
+dist AS (SELECT set_id, member_a, member_b, CASE WHEN i = u THEN 0.0 WHEN i = 0 THEN 1.0 ELSE least(1.0, -ln(2.0 * i / u / (1.0 + 1.0 * i / u)) / {k}) END AS distance FROM w2)"""
+
+
+_ROUNDED = "SELECT set_id, member_a, member_b, round(distance, 6) + 0.0 AS distance FROM dist"
 
 _PAIRS = ", p AS (SELECT x.set_id, x.member AS member_a, y.member AS member_b, x.f AS a, y.f AS b FROM m x JOIN m y ON x.set_id = y.set_id AND x.member < y.member)"
 _EUCLID = f"WITH {_SETS}{_PAIRS}, w AS (SELECT set_id, member_a, member_b, unnest(a) AS p, unnest(b) AS q FROM p), dist AS (SELECT set_id, member_a, member_b, sqrt(sum((p - q) * (p - q))) AS distance FROM w GROUP BY 1, 2, 3)"
 
+_EPS = "2.220446049250313e-16"
+
+
+def _entropy(v: str) -> str:
+    return f"-list_sum(list_transform({v}, lambda e: CASE WHEN e > {_EPS} THEN e * log2(e) ELSE 0 END))"
+
+
+def _less(a: str, b: str) -> str:
+    """Difference of lists, with 0 for rounding below it."""
+    return f"list_transform(list_zip({a}, {b}), lambda e: CASE WHEN e[1] - e[2] > {_EPS} THEN e[1] - e[2] ELSE 0 END)"
+
+
+def _settled(source: str, stat: str) -> str:
+    """Adds to rows of (keep..., names, x) the members' entropies, sums, total, contributions, the lowest and the statistic."""
+    sums = "list_transform(range(1, 65), lambda j: list_sum(list_transform(x, lambda v: v[j])))"
+    a = f"SELECT *, list_transform(x, lambda v: {_entropy('v')}) AS h, {sums} AS s, len(names) AS n FROM {source}"
+    b = f"SELECT *, list_sum(h) AS sh, {_entropy('list_transform(s, lambda q: q / n)')} - list_sum(h) / n AS total FROM ({a})"
+    rest = f"list_transform({_less('s', 'x[i]')}, lambda q: q / (n - 1))"
+    c = f"SELECT *, list_transform(range(1, n + 1), lambda i: total - ({_entropy(rest)} - (sh - h[i]) / (n - 1))) AS delta FROM ({b})"
+    value = "list_aggregate(delta, 'stddev_samp')" + (" / list_avg(delta)" if stat == "cov" else "")
+    return f"SELECT *, list_position(list_transform(delta, lambda q: round(q, 12)), list_min(list_transform(delta, lambda q: round(q, 12)))) AS low, {value} AS stat FROM ({c})"
+
+
+def _fold(rows: str, out: str, least: int, most: int, stat: str = "stdev") -> str:
+    """CTEs that fold rows (chunk, rn from 1, seqid, f) of each chunk; `out` has the last state of each."""
+    columns = "chunk, i, names, x, h, s, n, sh, total, delta, low, stat"
+    seeds = f"SELECT chunk, {least} AS i, list(seqid ORDER BY rn) AS names, list(f ORDER BY rn) AS x FROM {rows} WHERE rn <= {least} GROUP BY chunk"
+    mixed = f"list_transform(list_zip({_less('p.s', 'p.x[p.low]')}, c.f), lambda q: (q[1] + q[2]) / p.n)"
+    met = f"SELECT p.*, c.seqid, c.f, {_entropy(mixed)} - (p.sh - p.h[p.low] + {_entropy('c.f')}) / p.n > p.total + {_EPS} AS rises FROM {out}_r p JOIN {rows} c ON c.chunk = p.chunk AND c.rn = p.i + 1"
+    full = f"n >= {most}"
+    kept = "CASE WHEN {full} THEN list_concat({v}[:low - 1], {v}[low + 1:], [{w}]) ELSE list_append({v}, {w}) END"
+    changed = f"SELECT chunk, i + 1 AS i, {kept.format(full=full, v='names', w='seqid')} AS names, {kept.format(full=full, v='x', w='f')} AS x, stat AS old, {full} AS was_full, m AS before FROM (SELECT *, {{'names': names, 'x': x, 'h': h, 's': s, 'n': n, 'sh': sh, 'total': total, 'delta': delta, 'low': low, 'stat': stat}} AS m FROM ({met}) WHERE rises)"
+    taken = f"SELECT chunk, i, CASE WHEN was_full OR stat > old THEN {{'names': names, 'x': x, 'h': h, 's': s, 'n': n, 'sh': sh, 'total': total, 'delta': delta, 'low': low, 'stat': stat}} ELSE before END AS m FROM ({_settled(f'({changed})', stat)})"
+    state = ", ".join(f"m.{c} AS {c}" for c in columns.split(", ")[2:])
+    passed = f"SELECT chunk, i + 1 AS i, {columns.removeprefix('chunk, i, ')} FROM ({met}) WHERE NOT rises"
+    return f"""{out}_r AS (SELECT {columns} FROM ({_settled(f'({seeds})', stat)})
+UNION ALL SELECT * FROM (SELECT chunk, i, {state} FROM ({taken}) UNION ALL {passed})),
+{out} AS (SELECT q.* FROM {out}_r q WHERE i = (SELECT max(i) FROM {out}_r z WHERE z.chunk = q.chunk))"""
+
+
+# Vectors in the order of a seeded digest of their names.
+_ORDERED = """one AS (SELECT 1 AS chunk, row_number() OVER (ORDER BY md5('7' || seqid), seqid) AS rn, seqid, min(kfreqs) AS f FROM kmer_seq WHERE len(kfreqs) = 64 AND NOT isnan(kfreqs[1]) AND seqid IS NOT NULL GROUP BY seqid)"""
+
+
+def _chunked(least: int, most: int, stat: str = "stdev") -> str:
+    """Eight chunks folded, and their members folded again: x."""
+    return f"""{_ORDERED},
+parts AS (SELECT chunk, row_number() OVER (PARTITION BY chunk ORDER BY rn) AS rn, seqid, f FROM (SELECT ntile(8) OVER (ORDER BY rn) AS chunk, rn, seqid, f FROM one)),
+{_fold('parts', 'y', least, most, stat)},
+again AS (SELECT 1 AS chunk, row_number() OVER (ORDER BY chunk, place) AS rn, seqid, f FROM (SELECT chunk, unnest(range(1, n + 1)) AS place, unnest(names) AS seqid, unnest(x) AS f FROM y)),
+{_fold('again', 'x', least, most, stat)}"""
+
+
+_SELECTED = "SELECT unnest(names) AS seqid, round(unnest(delta), 6) + 0.0 AS delta_jsd, round(total, 6) + 0.0 AS total_jsd FROM x"
+
+# Average linkage of the distances in dist: the distance of two groups is the mean over their pairs of members; `r` has
+# the state after each merge.
+_TREE = """both_ways AS (SELECT set_id, member_a AS a, member_b AS b, distance FROM dist UNION ALL SELECT set_id, member_b, member_a, distance FROM dist),
+leaf AS (SELECT set_id, list(DISTINCT a ORDER BY a) AS leaves FROM both_ways GROUP BY 1),
+mat AS (SELECT set_id, map(list(a || ' ' || b), list(round(distance, 12))) AS d FROM both_ways GROUP BY 1),
+r AS (SELECT set_id, 0 AS step, list_transform(leaves, lambda m: [m]) AS held, list_transform(leaves, lambda m: CAST(m AS VARCHAR)) AS parts, CAST(NULL AS INTEGER[]) AS left_members, CAST(NULL AS INTEGER[]) AS right_members, CAST(NULL AS DOUBLE) AS height FROM leaf
+UNION ALL
+SELECT set_id, step + 1, list_append(list_concat(held[:i - 1], held[i + 1:j - 1], held[j + 1:]), list_concat(held[i], held[j])), list_append(list_concat(parts[:i - 1], parts[i + 1:j - 1], parts[j + 1:]), '(' || parts[i] || ',' || parts[j] || ')'), held[i], held[j], best.h
+FROM (SELECT *, best.i AS i, best.j AS j FROM (SELECT r.*, list_min(list_transform(list_filter(flatten(list_transform(range(1, len(held) + 1), lambda p: list_transform(range(1, len(held) + 1), lambda q: [p, q]))), lambda e: e[1] < e[2]),
+lambda e: {'h': round(list_avg(flatten(list_transform(held[e[1]], lambda u: list_transform(held[e[2]], lambda w: d[u || ' ' || w])))), 12), 'i': e[1], 'j': e[2]})) AS best FROM r JOIN mat USING (set_id) WHERE len(held) > 1)))"""
+_NEWICK = "SELECT r.set_id, CAST(len(leaves) AS INTEGER) AS leaves, parts[1] || ';' AS newick FROM r JOIN leaf USING (set_id) WHERE len(parts) = 1"
+
 ORACLE_SQL: dict[str, str] = {
     "decoded_text": f"WITH {_TEXT} SELECT record_id, text FROM t",
     "encoded_text": """SELECT record_id, CASE WHEN data IS NULL THEN NULL WHEN octet_length(data) = 0 THEN '' ELSE
@@ -124,8 +197,40 @@ SELECT set_id, member, arg_min(other, (round(distance, 9), other)) AS nearest, r
     "kmer_hashes": f"WITH {_windows(6)}, {_hash(6, 'v')} SELECT record_id, CAST(count(DISTINCT hash) AS INTEGER) AS n, min(hash) AS least, max(hash) AS greatest FROM v JOIN f USING (w) GROUP BY 1",
     "bottom_sketches": f"WITH {_windows(6)}, {_hash(6, 'v')}, y AS (SELECT DISTINCT record_id, hash FROM v JOIN f USING (w)), r AS (SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY hash) - 1 AS place, hash FROM y) SELECT record_id, CAST(place AS INTEGER) AS place, hash FROM r WHERE place < 50",
     "sketch_jaccard": f"WITH {_sketches(False)} SELECT set_id, member_a, member_b, round(len(list_intersect(sa, sb)) / len(list_distinct(list_concat(sa, sb))), 6) + 0.0 AS jaccard FROM p",
-    "mash_distances": f"WITH {_sketches(False)}{_MASH}",
-    "canonical_mash_distances": f"WITH {_sketches(True)}{_MASH}",
+    "mash_distances": f"WITH {_sketches(False)}{_mash()} {_ROUNDED}",
+    "canonical_mash_distances": f"WITH {_sketches(True)}{_mash()} {_ROUNDED}",
+    "default_mash_distances": f"WITH {_sketches(False, 12, 3000)}{_mash(12, 3000)} {_ROUNDED}",
+    "nmost": f"WITH RECURSIVE {_ORDERED}, {_fold('one', 'x', 10, 10)} {_SELECTED}",
+    "nmost_chunked": f"WITH RECURSIVE {_chunked(10, 10)} {_SELECTED}",
+    "max_stdev": f"WITH RECURSIVE {_chunked(5, 30, 'stdev')} {_SELECTED}",
+    "max_cov": f"WITH RECURSIVE {_chunked(5, 30, 'cov')} {_SELECTED}",
+    "nmost_with_included": f"""WITH RECURSIVE {_chunked(10, 10)},
+i AS (SELECT 1 AS chunk, row_number() OVER (ORDER BY late, rn) AS rn, seqid, f FROM (SELECT 0 AS late, row_number() OVER () AS rn, unnest(names) AS seqid, unnest(x) AS f FROM x
+UNION ALL SELECT 1, 0, min(seqid), arg_min(f, seqid) FROM one WHERE (SELECT min(seqid) FROM one) NOT IN (SELECT unnest(names) FROM x))),
+n AS (SELECT max(rn) AS n FROM i),
+l AS (SELECT seqid, n, unnest(range(1, 65)) AS j, unnest(f) AS f FROM i, n),
+h AS (SELECT seqid, -sum(CASE WHEN f > 0 THEN f * log2(f) ELSE 0 END) AS h FROM l GROUP BY 1),
+s AS (SELECT j, sum(f) AS s FROM l GROUP BY 1),
+t AS (SELECT -sum(CASE WHEN s > 0 THEN s / n * log2(s / n) ELSE 0 END) - (SELECT sum(h) FROM h) / max(n) AS total FROM s, n),
+o AS (SELECT seqid, -sum(CASE WHEN s - f > 2.220446049250313e-16 THEN (s - f) / (n - 1) * log2((s - f) / (n - 1)) ELSE 0 END) AS rest, max(n) AS n FROM l JOIN s USING (j) GROUP BY 1)
+SELECT o.seqid, round(total - (rest - ((SELECT sum(h) FROM h) - h) / (n - 1)), 6) + 0.0 AS delta_jsd, round(total, 6) + 0.0 AS total_jsd FROM o JOIN h USING (seqid), t""",
+    "tree_merges": f"WITH RECURSIVE {_EUCLID.removeprefix('WITH ')}, {_TREE} SELECT set_id, CAST(step AS INTEGER) AS step, list_sort(left_members) AS left_members, list_sort(right_members) AS right_members, round(height, 6) + 0.0 AS height FROM r WHERE step > 0",
+    "euclidean_trees": f"WITH RECURSIVE {_EUCLID.removeprefix('WITH ')}, {_TREE} {_NEWICK}",
+    "mash_trees": f"WITH RECURSIVE {_sketches(False)}{_mash()}, {_TREE} {_NEWICK}",
+    "fasta_records": f"WITH {_TEXT} SELECT CAST(record_id AS VARCHAR) AS name, md5(text) AS seq FROM t WHERE length(text) > 0",
+    "genbank_records": f"WITH {_TEXT} SELECT 'R' || record_id AS name, md5(text) AS seq FROM t WHERE length(text) > 0",
+    "whole_file_records": f"WITH {_TEXT}, b AS (SELECT string_agg(text, '-' ORDER BY record_id) AS seq FROM t JOIN seq_array USING (record_id) WHERE length(text) > 0 GROUP BY batch_id) SELECT md5(seq) AS seq, CAST(length(seq) AS INTEGER) AS n FROM b",
+    "last_named_records": f"WITH {_TEXT} SELECT seqid AS name, md5(arg_max(text, record_id)) AS seq FROM t JOIN seq_array USING (record_id) WHERE length(text) > 0 AND seqid IS NOT NULL GROUP BY 1",
+    "stored_contents": f"WITH {_TEXT} SELECT seqid, min(md5(unhex(replace(replace(replace(replace(replace(text, 'T', '00'), 'C', '01'), 'A', '02'), 'G', '03'), 'N', '05')))) AS content, 't:' || seqid AS source FROM t JOIN seq_array USING (record_id) WHERE length(text) > 0 AND seqid IS NOT NULL GROUP BY seqid",
+    "written_selection": f"WITH RECURSIVE {_ORDERED}, {_fold('one', 'x', 10, 10)} SELECT unnest(names) AS names, round(unnest(delta), 6) + 0.0 AS delta_jsd FROM x",
+    "written_trees": f"WITH RECURSIVE {_EUCLID.removeprefix('WITH ')}, {_TREE}, n AS ({_NEWICK}) SELECT newick FROM n",
+    "probe_distances": f"""WITH a AS (SELECT seqid, min(record_id) AS r FROM seq_array WHERE seqid IN (SELECT seqid FROM knn_probe) GROUP BY 1),
+{_windows(3, "s AS (SELECT r AS record_id, hex(data) AS h, octet_length(data) AS n FROM a JOIN seq_array ON record_id = r WHERE data IS NOT NULL)")},
+c AS (SELECT record_id, {_number(3)} AS kmer, count(*) AS n FROM v GROUP BY 1, 2),
+f AS (SELECT record_id, map(list(kmer), list(n)) AS m, sum(n) AS total FROM c GROUP BY 1),
+d AS (SELECT a.seqid, list_transform(range(0, 64), lambda i: coalesce(m[i], 0) / total) AS x FROM f JOIN a ON a.r = f.record_id)
+SELECT p.seqid AS member_a, q.seqid AS member_b, round(list_distance(p.x, q.x), 6) + 0.0 AS distance FROM d p JOIN d q ON p.seqid < q.seqid""",
+    "degapped": "SELECT doc_id, md5(replace(text, '-', '')) AS text FROM documents",
     "set_names": "SELECT name, count(*) AS n, count(DISTINCT set_id) AS sets FROM (SELECT set_id, unnest(seqids) AS name FROM summed_records) GROUP BY 1",
     "stored_sets": f"""WITH {_SETS}, n AS (SELECT q.set_id, max(total_jsd) AS t, max(lowest) AS lo, avg(delta_jsd) AS m, stddev_samp(delta_jsd) AS sd FROM q JOIN low USING (set_id) GROUP BY 1)
 SELECT r.set_id, abs(r.total_jsd - t) < 1e-6 AS total, lowest_index = lo AS lowest, abs(mean_delta_jsd - m) < 1e-6 AS mean, abs(std_delta_jsd - sd) < 1e-6 AS std FROM summed_records r LEFT JOIN n ON n.set_id = r.set_id""",

@@ -30,22 +30,27 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), rf"(?i)\.({known})(\.({'|'.join(COMPRESSED)}))?$", "")
 
 
+def place() -> Column:
+    """Place of a record in its file: start of the split, then the order in it."""
+    return F.struct(F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("row")).alias("at")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """path, name (first word of the header), seq (cleaned): one row a record, split where a line starts with '>'.
+    """path, at (place in the file), name (first word of the header), seq (cleaned): one row a record, split where a line starts with '>'.
 
     A file is read in splits, each record by the task in whose split it begins, so large files are parallel unless compressed.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("path"), F.regexp_replace("value", "^>", "").alias("value"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("path"), place(), F.regexp_replace("value", "^>", "").alias("value"))
     header, body = F.substring_index("value", "\n", 1), F.regexp_replace("value", r"^[^\n]*\n?", "")
     rows = raw.where(F.length(F.trim("value")) > 0)
-    return rows.select("path", F.regexp_extract(header, r"^\s*(\S*)", 1).alias("name"), F.regexp_replace(clean(body), ">", "").alias("seq"))
+    return rows.select("path", "at", F.regexp_extract(header, r"^\s*(\S*)", 1).alias("name"), F.regexp_replace(clean(body), ">", "").alias("seq"))
 
 
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
-    """path, name (of LOCUS), seq (of ORIGIN, cleaned): one row a record, split at the lines '//'."""
-    raw = spark.read.option("lineSep", "\n//").text(path).select(F.input_file_name().alias("path"), "value")
+    """path, at (place in the file), name (of LOCUS), seq (of ORIGIN, cleaned): one row a record, split at the lines '//'."""
+    raw = spark.read.option("lineSep", "\n//").text(path).select(F.input_file_name().alias("path"), place(), "value")
     rows = raw.where(F.col("value").rlike(r"(?m)^LOCUS\s"))
-    return rows.select("path", F.regexp_extract("value", r"(?m)^LOCUS\s+(\S+)", 1).alias("name"), clean(F.regexp_extract("value", r"(?s)\nORIGIN[^\n]*\n(.*)", 1), digits=True).alias("seq"))
+    return rows.select("path", "at", F.regexp_extract("value", r"(?m)^LOCUS\s+(\S+)", 1).alias("name"), clean(F.regexp_extract("value", r"(?s)\nORIGIN[^\n]*\n(.*)", 1), digits=True).alias("seq"))
 
 
 def read_sequences(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -59,14 +64,21 @@ def one_row_a_file(rows: DataFrame) -> DataFrame:
 
     A file becomes one value here, so this is for files of one genome each.
     """
-    placed = rows.withColumn("at", F.monotonically_increasing_id())
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "seq"))), lambda x: x.seq), BARRIER)
-    return placed.groupBy("path").agg(joined.alias("seq")).select(stem(F.col("path")).alias("name"), "seq")
+    return rows.groupBy("path").agg(joined.alias("seq")).select(stem(F.col("path")).alias("name"), "seq")
 
 
 def last_of_name(rows: DataFrame) -> DataFrame:
-    """name, seq: of records with the same name the last read."""
-    return rows.withColumn("at", F.monotonically_increasing_id()).groupBy("name").agg(F.max_by("seq", "at").alias("seq"))
+    """name, seq: of records with the same name the last one of the last file, by path."""
+    return rows.groupBy("name").agg(F.max_by("seq", F.struct("path", "at")).alias("seq"))
+
+
+def derived_id(rows: DataFrame) -> Column:
+    """The id of a row: the first of its columns unique_id, seqid, name and source with a value, without folder and suffix."""
+    known = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("unique_id", "seqid", "name", "source") if c in rows.columns]
+    if not known:
+        raise ValueError("rows without a column unique_id, seqid, name or source have no id")
+    return F.regexp_replace(F.regexp_extract(F.coalesce(*known), r"([^/]*)/*$", 1), r"(?<=.)\.[^.]+$", "")
 
 
 def names_option(text: str | None) -> list[str]:

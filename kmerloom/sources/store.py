@@ -1,4 +1,4 @@
-"""The sequence store: a folder of Parquet with one row a name, and the content behind it."""
+"""The sequence store: a folder of two Parquet tables, names with their metadata, and each distinct content once."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions.alphabet import degap, text_to_codes, to_dna
+from kmerloom.session import cut
 from kmerloom.sources import files
 
 #: Fewer inputs than this are not worth a selection.
@@ -24,19 +25,43 @@ def encoded(rows: DataFrame, name: str = "name", seq: str = "seq", moltype: str
 
 
 def put(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write encoded() rows, one a name (the least content of a name that comes twice); empty data is an error."""
+    """Write encoded() rows, one a name (the least content of a name that comes twice, with its metadata).
+
+    Content that several names share is stored once. A name that is there already keeps what it has when rows are
+    appended. Empty data is an error.
+    """
     if mode not in ("errorifexists", "overwrite", "append"):
         raise ValueError(f"unknown mode {mode!r}")
     if rows.where(F.coalesce(F.length("data"), F.lit(0)) == 0).limit(1).count():
         raise ValueError("records without symbols cannot be stored")
-    fresh = rows.groupBy("seqid").agg(F.min(F.struct("content", "data")).alias("m"), F.first("metadata").alias("metadata")).select("seqid", "m.data", "m.content", "metadata")
+    names = rows.groupBy("seqid").agg(F.min_by(F.struct("content", "metadata"), F.struct("content", F.to_json("metadata"))).alias("m")).select("seqid", "m.*")
+    if mode == "append":
+        names = names.join(rows.sparkSession.read.parquet(f"{path}/names").select("seqid"), "seqid", "left_anti")
+    names = cut(names)
+    data = rows.select("content", "data").join(names.select("content"), "content", "left_semi").dropDuplicates(["content"])
     if mode == "append":
-        fresh = fresh.join(get_store(rows.sparkSession, path).select("seqid"), "seqid", "left_anti")
-    fresh.write.mode(mode).option("compression", "zstd").parquet(path)
+        data = data.join(rows.sparkSession.read.parquet(f"{path}/data").select("content"), "content", "left_anti")
+    # content first: names never point to what is not there
+    cut(data).write.mode(mode).option("compression", "zstd").parquet(f"{path}/data")
+    names.write.mode(mode).parquet(f"{path}/names")
 
 
 def get_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """seqid, data, content, metadata of the store, read when they are used; a folder without a store is an error."""
+    return spark.read.parquet(f"{path}/names").join(spark.read.parquet(f"{path}/data"), "content").select("seqid", "data", "content", "metadata")
+
+
+def contains(store: DataFrame, seqid: str) -> bool:
+    return bool(store.where(F.col("seqid") == seqid).limit(1).count())
+
+
+def size(store: DataFrame) -> int:
+    return store.count()
+
+
+def num_unique(store: DataFrame) -> int:
+    """Number of distinct contents."""
+    return store.select("content").distinct().count()
 
 
 def seqids(store: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def test_selection_edges(spark):
         with pytest.raises(ValueError):
             bad()
     with pytest.raises(ValueError):
-        selection.with_included(df, df, "name", ["zz"])
+        selection.with_included(df, df, "name", ["zz"], 2)
 
 
 def test_total_never_falls():

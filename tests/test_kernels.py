@@ -120,3 +120,32 @@ def test_hash_of_numbers():
     codes = np.random.default_rng(1).integers(0, 4, (50, 9))
     numbers = (codes * 4 ** np.arange(8, -1, -1)).sum(1)
     assert (hashing.hash_numbers(numbers, 9) == hashing.hash_codes(codes)).all()
+
+
+def test_linkage_against_all_pairs():
+    from kmerloom.operators.cluster import average_linkage
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 12, 30):
+        for kind in range(3):
+            d = rng.random((n, n)) if kind else rng.integers(1, 4, (n, n)).astype(float)
+            d = (d + d.T) / 2
+            held, want = {i: [i] for i in range(n)}, []
+            while len(held) > 1:
+                h, a, b = min((round(float(np.mean([d[x, y] for x in held[a] for y in held[b]])), 10), a, b) for a in held for b in held if a < b)
+                want.append((a, b, h, len(held[a]) + len(held[b])))
+                held[n + len(want) - 1] = held.pop(a) + held.pop(b)
+            got = average_linkage(d)
+            assert [(a, b, s) for a, b, _, s in got] == [(a, b, s) for a, b, _, s in want] and np.allclose([m[2] for m in got], [m[2] for m in want], atol=1e-9)
+
+
+def test_lengths_and_slices_of_dense_vectors(spark, monkeypatch):
+    from kmerloom.operators import kmers
+
+    df = spark.createDataFrame([(i, bytes([i % 4, 1, 2, 3, 0, i % 3])) for i in range(20)], "record_id int, data binary")
+    assert df.select(alphabet.codes_to_text(F.col("data"), max_length=3)).first()[0] == "TCA"
+    assert bytes(df.select(alphabet.text_to_codes(F.lit("CATG"), max_length=2)).first()[0]) == bytes([1, 2])
+    v = kmers.kmer_vectors(df, 2)
+    whole = {r.record_id: r.kfreqs for r in kmers.dense(v, 16).collect()}
+    monkeypatch.setattr(kmers, "DENSE", 40)
+    assert {r.record_id: r.kfreqs for r in kmers.dense(v, 16).collect()} == whole and len(whole) == 20

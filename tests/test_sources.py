@@ -78,6 +78,29 @@ def test_store(spark, tmp_path):
     assert bytes(rna.data) == bytes([0, 3, 2, 0]) and rna.metadata["moltype"] == "rna"
 
 
+def test_store_keeps_a_content_once(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([("s3", "TGAT"), ("s4", "TGAT"), ("s5", "AC"), ("s5", "GG")], "name string, seq string")
+    store.put(store.encoded(rows, source="one"), path)
+    store.put(store.encoded(spark.createDataFrame([("s3", "CCC"), ("s6", "AC"), ("s7", "TTT")], "name string, seq string"), source="two"), path, "append")
+    s = store.get_store(spark, path)
+    got = {r.seqid: (bytes(r.data), r.metadata["source"]) for r in s.collect()}
+    kept = min((b"\x02\x01", b"\x03\x03"), key=lambda d: __import__("hashlib").md5(d).hexdigest())
+    assert got == {"s3": (b"\x00\x03\x02\x00", "one:s3"), "s4": (b"\x00\x03\x02\x00", "one:s4"), "s5": (kept, "one:s5"), "s6": (b"\x02\x01", "two:s6"), "s7": (b"\0\0\0", "two:s7")}
+    assert spark.read.parquet(path + "/data").count() == store.num_unique(s) and store.size(s) == 5
+    assert store.contains(s, "s6") and not store.contains(s, "zz")
+
+
+def test_ids_and_last_of_name(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "a/b/c.fa", "n"), ("", None, "x.y.gz"), ("u.1", "s", "n"), (None, None, None)], "unique_id string, name string, source string")
+    assert [r[0] for r in rows.select(files.derived_id(rows)).collect()] == ["c", "x.y", "u", None]
+    with pytest.raises(ValueError):
+        files.derived_id(spark.createDataFrame([(1,)], "z int"))
+    write_fasta(tmp_path / "a.fa", [("x", "A"), ("y", "CC"), ("x", "G")])
+    write_fasta(tmp_path / "b.fa", [("y", "TT")])
+    assert {(r.name, r.seq) for r in files.last_of_name(files.read_fasta(spark, str(tmp_path))).collect()} == {("x", "G"), ("y", "TT")}
+
+
 def rows_of(spark, seqs):
     return store.encoded(spark.createDataFrame(seqs, "name string, seq string"))
 
@@ -105,6 +128,30 @@ def test_delta_jsd(spark):
         api.delta_jsd(rows_of(spark, [("a", "ACGT"), ("b", "---")]), queries, 3)
 
 
+def test_included_records_have_contributions_in_the_whole_set(spark):
+    s = rows_of(spark, [*sequences(12), ("none", "A")]).cache()
+    got = {r.seqid: r.delta_jsd for r in api.select_nmost(s, 4, 2, include=["seq0", "none"], seed=5).collect()}
+    assert got.pop("none") is None and 4 <= len(got) <= 5
+    long = api.long_members(s.where(F.col("seqid").isin(list(got))), 2)
+    whole = {r.member: r.delta_jsd for r in jsd.leave_one_out(long, ["one"]).collect()}
+    assert set(whole) == set(got) and all(abs(whole[k] - v) < 1e-12 for k, v in got.items())
+    with pytest.raises(Exception, match="fewer than"):
+        api.select_nmost(rows_of(spark, [*sequences(3), *[(f"e{i}", "A") for i in range(9)]]), 5, 2, chunks=2).collect()
+    with pytest.raises(ValueError):
+        api.delta_jsd(s, rows_of(spark, [("short", "A")]), 3, strict=True)
+
+
+def test_pairs_in_blocks(spark):
+    from kmerloom.operators import distance
+
+    s = rows_of(spark, [*sequences(20), ("none", "A")]).cache()
+    v = kmers.kmer_vectors(s, 3, "seqid")
+    dense = kmers.dense(v, 64, "seqid").select(F.lit(1).alias("one"), F.col("seqid").alias("member"), "kfreqs")
+    want = {(r.member_a, r.member_b): r.distance for r in distance.euclidean_distances(dense, ["one"]).collect()}
+    got = {(r.member_a, r.member_b): r.distance for r in distance.sparse_euclidean_distances(v.withColumnRenamed("seqid", "member"), 4).collect()}
+    assert len(want) == 190 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_tree_of_families(spark):
     rng = random.Random(2)
     one, two = ("".join(rng.choices("ACGT", k=1500)) for _ in range(2))
