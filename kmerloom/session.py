@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import itertools
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the session's workers this package, once, unless the environment they inherit has it already."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _shipped:
+        return
+    # made at the driver, which serves it to the workers
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "kmerloom"), "zip", root, "kmerloom"))
+    _shipped.add(sc.applicationId)
+
+
 _cuts = itertools.count(1)
 #: After so many cuts the driver collects its garbage.
 COLLECT_AFTER = 6
