@@ -1,6 +1,7 @@
 """Clusters, selection, neighbours and counts (problems 1, 2, 5 and 6) against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,36 @@ def test_local_moving_by_joins_and_in_a_task(spark, monkeypatch):
     assert len({(i // 7, c) for i, c in held.items()}) == len(set(held.values())) == 6
 
 
+def test_clusters_keep_the_driver_small(data, small_leaves, monkeypatch):
+    """The forest is fitted in a task, clusters need no passes of joins over a large graph, balls come part by part."""
+
+    def at_the_driver(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(nn_graph.Forest, "fit", at_the_driver)
+    monkeypatch.setattr(clusters, "local_moving", at_the_driver)
+    monkeypatch.setattr(clusters, "HELD_EDGES", 2048)
+    monkeypatch.setattr(clusters, "MAX_BALLS", 20)
+    g = nn_graph.build_graph(nn_graph.usable_vectors(data[2], 16), 16)
+    for reach in (0.04, 0.08):
+        got = {r.name: r.cluster_key for r in clusters.cluster_of_names(g, reach).collect()}
+        assert got == chains(data[0], data[1], reach, 5)
+
+
+@pytest.mark.parametrize("n", [1, 9, 400])
+def test_chains_of_a_block(n):
+    rng = np.random.default_rng(n)
+    ids = np.sort(rng.choice(10**6, n + 1, replace=False))
+    links = {(int(min(p)), int(max(p))) for p in rng.choice(ids, (n, 2)) if p[0] != p[1]} | {(int(ids[0]), int(ids[-1]))}
+    links |= set(zip(ids[n // 2 :].tolist(), ids[n // 2 + 1 :].tolist()))  # a long chain
+    least = {i: i for ij in links for i in ij}
+    for _ in least:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    t = clusters._chained(pa.table({"a": [a for a, _ in links], "b": [b for _, b in links]}))
+    assert dict(zip(t.column("id").to_pylist(), t.column("community").to_pylist())) == least
+
+
 def nearest(names, x, i, k):
     d = np.round(distances(x)[i] if len(x) < 2000 else np.sqrt(((x - x[i]) ** 2).sum(1)), 9)
     return [names[j] for j in sorted(range(len(x)), key=lambda j: (d[j], names[j])) if j != i][:k]
