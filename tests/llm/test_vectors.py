@@ -182,6 +182,16 @@ def test_clusters_keep_the_driver_small(data, small_leaves, monkeypatch):
         assert got == chains(data[0], data[1], reach, 5)
 
 
+def test_rounds_of_descent_leave_no_files(data, small_leaves, monkeypatch):
+    """Garbage is collected after the leaves and after each round, however many there are."""
+    done = []
+    descend, collect = nn_graph.descend, nn_graph.collect_garbage
+    monkeypatch.setattr(nn_graph, "descend", lambda *x: done.append("round") or descend(*x))
+    monkeypatch.setattr(nn_graph, "collect_garbage", lambda s: done.append("collected") or collect(s))
+    nn_graph.build_graph(nn_graph.usable_vectors(data[2], 16), 16)
+    assert done[0] == "collected" and done[1:] == ["round", "collected"] * (len(done) // 2) and len(done) > 2
+
+
 @pytest.mark.parametrize("n", [1, 9, 400])
 def test_chains_of_a_block(n):
     rng = np.random.default_rng(n)
